@@ -72,3 +72,10 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+def small(df: DataFrame, most_rows: int = 500_000) -> DataFrame:
+    """df with a broadcast hint if it was counted to have few rows; else as it is, for a shuffled join. df: materialised, rows of some dozen bytes."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.count() <= most_rows else df
