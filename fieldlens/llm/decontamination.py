@@ -31,19 +31,24 @@ from fieldlens.llm.registry import query, table
 from fieldlens.llm.support import materialize, small
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: The word patterns after and before A-Z are lower-cased.
+#: What lies between words, after and before A-Z are lower-cased.
+GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+RAW_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: The words themselves, for the SQL.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-SPAN, GRAM = 10, 4
+SPAN = 10
+
+
+def split_words(text: Column, gap: str) -> Column:
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), gap), "")
 
 
 def exact_words(text: Column) -> Column:
-    low = F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
-    return F.coalesce(F.regexp_extract_all(low, F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    return split_words(F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, UPPER, LOWER)).otherwise(F.lower(text)), GAP)
 
 
 def scan_words(text: Column) -> Column:
-    return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    return split_words(F.lower(text), GAP)
 
 
 def with_fingerprints(df: DataFrame, words: str) -> DataFrame:
@@ -82,11 +87,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     windows = small(materialize(windows.groupBy("n", "win").agg(F.collect_set("item_id").alias("items")), "windows"))
     # the scan's fingerprints of items are of lower() too
     scanned = benchmark.select(scan_words(F.col(item_text)).alias("words"))
-    prints = small(materialize(with_fingerprints(scanned.filter(F.size("words") >= SPAN), "words").select(F.explode("fp").alias("fp")).distinct(), "fingerprints"))
+    prints = small(materialize(with_fingerprints(scanned, "words").select(F.explode("fp").alias("fp")).distinct(), "fingerprints"))
     short = sorted(r["n"] for r in items.filter(F.size("words") < SPAN).select(F.size("words").alias("n")).distinct().collect())  # 9 numbers at most
 
     words = docs.select("doc_id", scan_words(F.col("text")).alias("words"))
-    hits = with_fingerprints(words.filter(F.size("words") >= SPAN), "words").select("doc_id", F.explode(F.array_distinct("fp")).alias("fp")).join(prints, "fp", "left_semi").select("doc_id")
+    hits = with_fingerprints(words, "words").select("doc_id", F.explode(F.array_distinct("fp")).alias("fp")).join(prints, "fp", "left_semi").select("doc_id")
     for n in short:
         grams = items.filter(F.size("words") == n).select(F.lower(F.array_join("words", " ")).alias("win")).distinct()
         hits = hits.unionByName(words.select("doc_id", F.explode(F.array_distinct(gram_texts("words", n))).alias("win")).join(small(materialize(grams, "grams")), "win", "left_semi").select("doc_id"))
@@ -106,7 +111,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     merged = F.aggregate("spans", zero, lambda s, x: F.struct(F.greatest(s["end"], x["b"]).alias("end"), (s["n"] + F.greatest(F.lit(0).cast("long"), x["b"] - F.greatest(s["end"], x["a"]))).alias("n")))
     marks = covered.select(F.col("doc_id").alias("hit_id"), merged["n"].alias("hit"), F.size("items").cast("long").alias("items_n"), F.array_join("items", ",").alias("names"))
     marks = small(materialize(marks, "contaminated"), 200_000)
-    counted = docs.select("doc_id", F.coalesce(F.regexp_count("text", F.lit(RAW_WORD)), F.lit(0)).cast("long").alias("n_words"))
+    counted = docs.select("doc_id", F.size(split_words(F.col("text"), RAW_GAP)).cast("long").alias("n_words"))
     return counted.join(marks, F.col("doc_id") == F.col("hit_id"), "left").select(
         "doc_id",
         "n_words",

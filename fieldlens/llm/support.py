@@ -79,3 +79,57 @@ def small(df: DataFrame, most_rows: int = 500_000) -> DataFrame:
     from pyspark.sql import functions as F
 
     return F.broadcast(df) if df.count() <= most_rows else df
+
+
+def groups(batches: Iterator[pa.RecordBatch], key: int = 0) -> Iterator[pa.Table]:
+    """Runs of equal keys of sorted batches, each as one table; only one run is held at a time."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(key).to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+        edges = [0, *cuts.tolist(), batch.num_rows]
+        for a, b in zip(edges, edges[1:], strict=False):
+            if held and keys[a] != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = keys[a]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node, root (the least node that it is connected with) for edges a, b; isolated nodes aren't there.
+
+    Each round links every node's larger neighbours, then its smaller ones, to
+    the least of them; the edges end as stars. Every round is written, so that a
+    lost executor costs no more than that round. Hubs are aggregated by minimum
+    and joined, never gathered in a list.
+    """
+    from pyspark.sql import functions as F
+
+    def star(e: DataFrame, large: bool) -> DataFrame:
+        if large:
+            both = e.union(e.select("b", "a")).toDF("a", "b")
+        else:
+            both = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        linked = both.join(least, "a")
+        moved = linked.filter(F.col("b") > F.col("a")) if large else linked
+        return moved.select(F.col("b").alias("a"), F.col("m").alias("b")).union(linked.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
+
+    def state(e: DataFrame) -> tuple:
+        return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+    edges = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    before = state(edges)
+    while True:
+        edges = materialize(star(materialize(star(edges, True), "large-star"), False), "small-star")
+        if (now := state(edges)) == before:
+            break
+        before = now
+    stars = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    return stars.union(stars.select("root", "root").distinct()).toDF("node", "root")
