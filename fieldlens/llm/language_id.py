@@ -131,40 +131,53 @@ def fit_on(labelled: DataFrame, most_rows: int = TRAIN_ROWS) -> LanguageModel |
     return fit(got.column("text").to_pylist(), got.column("lang").to_pylist())
 
 
+def judge(model: LanguageModel | None, col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(language, score, rejected) of each text."""
+    letter = pc.match_substring_regex(col, r"\p{L}").to_numpy(zero_copy_only=False)
+    data, offsets = buffers(pc.utf8_lower(col))
+    n = len(col)
+    names, scores, limit = np.full(n, UND, dtype=object), np.zeros(n), 1.0
+    if model is not None:
+        limit = model.limit
+        for i, j in chunks(offsets):
+            at = offsets[i : j + 1] - offsets[i]
+            lengths = np.diff(at)
+            full = np.flatnonzero(lengths)
+            total = np.zeros((j - i, len(model.labels)))
+            for b, ok in grams(data[offsets[i] : offsets[j]], np.repeat(at[1:], lengths)):
+                s = model.scores[b]
+                s[~ok] = 0
+                if len(full):
+                    total[full] += np.add.reduceat(s, at[:-1][full], axis=0)
+            p = model.probabilities(total, sum(np.maximum(lengths - k + 1, 0) for k in SIZES))
+            names[i:j] = np.array(model.labels, dtype=object)[p.argmax(axis=1)]
+            scores[i:j] = p.max(axis=1)
+    names[~letter] = UND
+    scores[~letter] = 0.0
+    return names, scores, (names == UND) | (scores < limit)
+
+
 def predict(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score, rejected."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            col = text_column(batch, "text")
-            letter = pc.match_substring_regex(col, r"\p{L}").to_numpy(zero_copy_only=False)
-            data, offsets = buffers(pc.utf8_lower(col))
-            n = len(col)
-            names, scores, limit = np.full(n, UND, dtype=object), np.zeros(n), 1.0
-            if model is not None:
-                limit = model.limit
-                for i, j in chunks(offsets):
-                    at = offsets[i : j + 1] - offsets[i]
-                    part = data[offsets[i] : offsets[j]]
-                    lengths = np.diff(at)
-                    ends = np.repeat(at[1:], lengths)
-                    total = np.zeros((j - i, len(model.labels)))
-                    full = np.flatnonzero(lengths)
-                    for b, ok in grams(part, ends):
-                        s = model.scores[b]
-                        s[~ok] = 0
-                        if len(full):
-                            total[full] += np.add.reduceat(s, at[:-1][full], axis=0)
-                    p = model.probabilities(total, sum(np.maximum(lengths - k + 1, 0) for k in SIZES))
-                    names[i:j] = np.array(model.labels, dtype=object)[p.argmax(axis=1)]
-                    scores[i:j] = p.max(axis=1)
-            names[~letter] = UND
-            scores[~letter] = 0.0
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores), pa.array((names == UND) | (scores < limit))], names=["doc_id", "lang_pred", "score", "rejected"])
+            names, scores, rejected = judge(model, text_column(batch, "text"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores), pa.array(rejected.astype(bool))], names=["doc_id", "lang_pred", "score", "rejected"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
 
 
+def accepted(docs: DataFrame, model: LanguageModel | None, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose text isn't rejected."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(~judge(model, text_column(batch, text_col))[2].astype(bool)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2
 
