@@ -52,7 +52,12 @@ def scan_words(text: Column) -> Column:
 
 
 def with_fingerprints(df: DataFrame, words: str) -> DataFrame:
-    """df with fp, an array with the fingerprint of the window at each place of the words' array."""
+    """df with fp, an array with the fingerprint of the window at each place of the words' array.
+
+    It is exploded by the outer forms: for the others Spark infers a filter on
+    the array's size and pushes it below these steps, each of which names the
+    one before three times; the last would be evaluated some hundred times.
+    """
 
     def tail(c: str, by: int) -> Column:
         return F.slice(c, by + 1, F.greatest(F.size(c), F.lit(1)))
@@ -82,27 +87,31 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     items = materialize(benchmark.select(F.col(item_id).cast("string").alias("item_id"), exact_words(F.col(item_text)).alias("words")).filter(F.size("words") > 0), "items")
     long_items = with_fingerprints(items.filter(F.size("words") >= SPAN), "words")
-    windows = long_items.withColumn("win", gram_texts("words", SPAN)).select("item_id", F.lit(SPAN).alias("n"), F.explode("win").alias("win"))
+    windows = long_items.withColumn("win", gram_texts("words", SPAN)).select("item_id", F.lit(SPAN).alias("n"), F.explode_outer("win").alias("win")).filter("win is not null")
     windows = windows.unionByName(items.filter(F.size("words") < SPAN).select("item_id", F.size("words").alias("n"), F.array_join("words", " ").alias("win")))
     windows = small(materialize(windows.groupBy("n", "win").agg(F.collect_set("item_id").alias("items")), "windows"))
     # the scan's fingerprints of items are of lower() too
     scanned = benchmark.select(scan_words(F.col(item_text)).alias("words"))
-    prints = small(materialize(with_fingerprints(scanned, "words").select(F.explode("fp").alias("fp")).distinct(), "fingerprints"))
+    prints = small(materialize(with_fingerprints(scanned, "words").select(F.explode_outer("fp").alias("fp")).distinct(), "fingerprints"))
     short = sorted(r["n"] for r in items.filter(F.size("words") < SPAN).select(F.size("words").alias("n")).distinct().collect())  # 9 numbers at most
 
     words = docs.select("doc_id", scan_words(F.col("text")).alias("words"))
-    hits = with_fingerprints(words, "words").select("doc_id", F.explode(F.array_distinct("fp")).alias("fp")).join(prints, "fp", "left_semi").select("doc_id")
+    hits = with_fingerprints(words, "words").select("doc_id", F.explode_outer(F.array_distinct("fp")).alias("fp")).join(prints, "fp", "left_semi").select("doc_id")
     for n in short:
         grams = items.filter(F.size("words") == n).select(F.lower(F.array_join("words", " ")).alias("win")).distinct()
-        hits = hits.unionByName(words.select("doc_id", F.explode(F.array_distinct(gram_texts("words", n))).alias("win")).join(small(materialize(grams, "grams")), "win", "left_semi").select("doc_id"))
+        hits = hits.unionByName(words.select("doc_id", F.explode_outer(F.array_distinct(gram_texts("words", n))).alias("win")).join(small(materialize(grams, "grams")), "win", "left_semi").select("doc_id"))
     hit_docs = small(materialize(hits.distinct(), "hit-docs"), 2_000_000)
 
     found = docs.filter("text is not null").join(hit_docs, "doc_id", "left_semi")
-    exact = found.select("doc_id", exact_words(F.col("text")).alias("words"), scan_words(F.col("text")).alias("low"))
-    at = with_fingerprints(exact, "low").select("doc_id", "words", F.posexplode("fp").alias("i", "fp")).join(prints, "fp", "left_semi")
-    spans = at.select("doc_id", "i", F.lit(SPAN).alias("n"), F.array_join(F.slice("words", F.col("i") + 1, SPAN), " ").alias("win"))
+    low = found.select("doc_id", scan_words(F.col("text")).alias("low"))
+    # only ids go through the explodes: a row with all words for each of its places would grow with the square of a text
+    at = with_fingerprints(low, "low").select("doc_id", F.posexplode_outer("fp").alias("i", "fp")).join(prints, "fp", "left_semi")
+    places = at.groupBy("doc_id").agg(F.collect_set("i").alias("places"))
+    exact = found.select("doc_id", exact_words(F.col("text")).alias("words"))
+    window = F.transform("places", lambda i: F.struct(i.alias("i"), F.array_join(F.slice("words", i + 1, SPAN), " ").alias("win")))
+    spans = exact.join(places, "doc_id").select("doc_id", F.explode_outer(window).alias("w")).select("doc_id", "w.i", F.lit(SPAN).alias("n"), "w.win")
     for n in short:
-        spans = spans.unionByName(exact.select("doc_id", F.posexplode(gram_texts("words", n)).alias("i", "win")).select("doc_id", "i", F.lit(n).alias("n"), "win"))
+        spans = spans.unionByName(exact.select("doc_id", F.posexplode_outer(gram_texts("words", n)).alias("i", "win")).select("doc_id", "i", F.lit(n).alias("n"), "win"))
     covered = spans.join(windows, ["n", "win"]).groupBy("doc_id").agg(
         F.array_sort(F.collect_set(F.struct(F.col("i").cast("long").alias("a"), (F.col("i") + F.col("n")).cast("long").alias("b")))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
