@@ -1,5 +1,6 @@
 """All core queries; importing this module registers them."""
 
+from fieldlens.plans import observation_queries  # noqa: F401
 from fieldlens.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
