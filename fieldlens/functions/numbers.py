@@ -17,8 +17,24 @@ def floor_all(xs: Column, places: int = 3) -> Column:
 
 
 def round_to(x: Column, places: int = 3) -> Column:
-    """Round on the double's exact value, as decimal text says it; ties on that value go to the even digit."""
-    return F.bround(x.cast("decimal(38,18)"), places).cast("double")
+    """Round on the double's exact value; exact ties go to the even digit.
+
+    The scaled value is itself rounded, so where it looks like a tie its exact
+    error decides, by splitting both factors into halves of 26 bits.
+    """
+    scale = 10.0**places
+    cut = 134217729.0  # 2 ** 27 + 1
+    high_s = cut * scale - (cut * scale - scale)
+    low_s = scale - high_s
+    high_x = F.lit(cut) * x - (F.lit(cut) * x - x)
+    low_x = x - high_x
+    p = x * scale
+    error = ((high_x * high_s - p) + high_x * low_s + low_x * high_s) + low_x * low_s
+    below = F.floor(p).cast("double")
+    over = p - below - 0.5
+    odd = F.pmod(below, F.lit(2.0)) == 1
+    up = (over > 0) | ((over == 0) & ((error > 0) | ((error == 0) & odd)))
+    return F.when(F.abs(x) >= 1e15 / scale, x).otherwise((below + up.cast("int")) / scale)
 
 
 def round_all(xs: Column, places: int = 3) -> Column:

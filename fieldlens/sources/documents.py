@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldlens import model
+from fieldlens.functions.numbers import round_to
 from fieldlens.functions import paths
 from fieldlens.operators.taxonomy import parse_geofence
 
@@ -52,7 +53,7 @@ def documents_from_predictions(rows: DataFrame) -> DataFrame:
         own = F.when(name.isNotNull(), F.array(F.array((F.array_position("names", name) - 1).cast("string"), score.cast("string"))))
 
         def det(d: Column) -> Column:
-            return F.struct(d["category"].alias("category"), F.bround(d["conf"], 5).alias("conf"), F.transform(d["bbox"], lambda x: F.bround(x, 5)).alias("bbox"), F.lit(None).cast("int").alias("frame_number"), own.alias("classifications"))
+            return F.struct(d["category"].alias("category"), round_to(d["conf"], 5).alias("conf"), F.transform(d["bbox"], lambda x: round_to(x, 5)).alias("bbox"), F.lit(None).cast("int").alias("frame_number"), own.alias("classifications"))
 
         full = F.array(F.struct(F.lit("1").alias("category"), score.alias("conf"), F.array(*map(F.lit, (0.0, 0.0, 1.0, 1.0))).alias("bbox"), F.lit(None).cast("int").alias("frame_number"), own.alias("classifications")))
         found = F.coalesce(F.transform(p["detections"], det), F.array().cast(f"array<{model.RAW_DETECTION}>"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldlens.functions.geometry import center_to_corner, corners_to_size, to_relative
+from fieldlens.functions.numbers import round_to
 from fieldlens.operators.categories import first_seen
 
 
@@ -44,8 +45,8 @@ def from_flat_detections(dets: DataFrame, images: DataFrame, offset: int = 1) ->
     """Flat detections in pixels (image_id, category_id, bbox, score) to every image (image_id, file, width, height); a negative category marks a failed one."""
     failed = dets.filter("category_id < 0").select("image_id").distinct().withColumn("failure", F.lit("inference failed"))
     ok = dets.filter("category_id >= 0").join(images, "image_id")
-    box = F.transform(to_relative(F.col("bbox"), F.col("width"), F.col("height")), lambda v: F.bround(v, 4))
-    rows = ok.select("file", (-F.col("score")).alias("_k"), (F.col("category_id") + offset).cast("string").alias("category"), F.bround("score", 3).alias("conf"), box.alias("bbox"))
+    box = F.transform(to_relative(F.col("bbox"), F.col("width"), F.col("height")), lambda v: round_to(v, 4))
+    rows = ok.select("file", (-F.col("score")).alias("_k"), (F.col("category_id") + offset).cast("string").alias("category"), round_to(F.col("score"), 3).alias("conf"), box.alias("bbox"))
     lists = grouped(rows, "file", "_k", "category", "conf", "bbox")
     out = images.join(failed, "image_id", "left").join(lists, "file", "left")
     empty = F.array().cast(lists.schema["detections"].dataType)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldlens import model
+from fieldlens.functions.numbers import round_to
 from fieldlens.functions import paths
 from fieldlens.functions.geometry import corner_to_center, to_pixels, to_relative
 
@@ -68,7 +69,7 @@ def annotation_rows(images: DataFrame, conf: float, names: dict[str, str], unkno
     if unknown == "ignore":
         d = d.filter(known)
     cat = F.col("d.category").cast("int") if unknown == "ignore" else F.when(known, F.col("d.category").cast("int")).otherwise(F.raise_error(F.concat(F.lit("unknown category "), F.col("d.category"))).cast("int"))
-    return d.select(F.sha2("file", 256).alias("image_id"), cat.alias("category_id"), F.transform(to_pixels(F.col("d.bbox"), F.col("width"), F.col("height")), lambda v: F.bround(v, 3)).alias("bbox"), F.col("d.conf").alias("score"))
+    return d.select(F.sha2("file", 256).alias("image_id"), cat.alias("category_id"), F.transform(to_pixels(F.col("d.bbox"), F.col("width"), F.col("height")), lambda v: round_to(v, 3)).alias("bbox"), F.col("d.conf").alias("score"))
 
 
 def detections_from_annotations(images: DataFrame, annotations: DataFrame) -> DataFrame:
