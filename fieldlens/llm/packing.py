@@ -123,7 +123,7 @@ def best_fit_pack(pieces: DataFrame, size: int = SIZE, shares: int = 256) -> Dat
 def _ranges(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct values of a sorted array, with their first and last + 1 places."""
     values, first = np.unique(keys, return_index=True)
-    return values, first, np.append(first[1:], len(keys))
+    return values, first, np.append(first, len(keys))[1:]
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, size: int = SIZE, end_id: int = END_ID) -> DataFrame:
