@@ -154,3 +154,53 @@ def rank_correct(scores: Column, label: Column, k: int) -> Column:
     """Whether the label is among the k greatest of an array of scores."""
     order = F.transform(F.array_sort(F.transform(scores, lambda s, i: F.struct((-s).alias("s"), i.alias("i")))), lambda x: x["i"])
     return F.array_contains(F.slice(order, 1, k), label)
+
+
+def predicted_categories(detections: DataFrame, conf: float, class_conf: float, names: dict[str, str]) -> DataFrame:
+    """image_id, label, n, conf: an image's predicted labels. A confident class counts by its name, else the detection category; images below conf are empty. Rows: image_id, category, conf, class, class_conf."""
+    from fieldlens.operators.categories import lookup
+
+    shown = F.col("conf") >= conf
+    label = F.when(~shown, "empty").when(F.col("class_conf") >= class_conf, F.col("class")).otherwise(lookup(names)[F.col("category").cast("string")])
+    d = detections.withColumn("label", label).withColumn("_any", F.max(shown.cast("int")).over(Window.partitionBy("image_id")))
+    return d.filter(shown | (F.col("_any") == 0)).groupBy("image_id", "label").agg(F.count(F.lit(1)).alias("n"), F.max("conf").alias("conf"))
+
+
+def adjustments(rows: DataFrame, source: str = "geofence") -> DataFrame:
+    """from, to, n of predictions (classes, prediction, prediction_source) that a source has changed, most frequent first."""
+    from fieldlens.functions.taxa import display_name
+
+    hit = rows.filter(F.col("prediction_source").contains(source))
+    pairs = hit.select(display_name(F.col("classes")[0]).alias("from"), display_name(F.col("prediction")).alias("to"))
+    return pairs.groupBy("from", "to").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "from", "to")
+
+
+def calibrated(score: Column, points: list[tuple[float, float]]) -> Column:
+    """Linear interpolation of a score between calibration points (score, accuracy)."""
+    ps = sorted(points)
+    out = F.lit(ps[-1][1])
+    for (x0, y0), (x1, y1) in reversed(list(zip(ps, ps[1:], strict=False))):
+        out = F.when(score < x1, y0 + (score - x0) * ((y1 - y0) / (x1 - x0))).otherwise(out)
+    return F.when(score <= ps[0][0], ps[0][1]).otherwise(out)
+
+
+def ordered(rows: DataFrame, key: str, falling: bool = False, nulls: str = "smallest") -> DataFrame:
+    """ORDER BY with nulls as smallest or largest, or an error."""
+    if nulls == "error":
+        kind = rows.schema[key].dataType
+        rows = rows.withColumn(key, F.coalesce(key, F.raise_error(F.lit(f"null {key}")).cast(kind)))
+    c, first = F.col(key), (nulls != "largest") != falling
+    order = (c.desc_nulls_first() if first else c.desc_nulls_last()) if falling else (c.asc_nulls_first() if first else c.asc_nulls_last())
+    return rows.orderBy(order)
+
+
+def sorted_map(m: Column, by_value: bool = False, falling: bool = False) -> Column:
+    """Entries of a map in order of keys or values."""
+    entries = F.transform(F.map_entries(m), lambda e, i: F.struct((e["value"] if by_value else e["key"]).alias("k"), i.alias("i"), e.alias("e")))
+    out = F.transform(F.array_sort(entries), lambda x: x["e"])
+    return F.reverse(out) if falling else out
+
+
+def throughput(speeds: DataFrame, factors: DataFrame) -> DataFrame:
+    """device, model, images_per_second: a device's speed times a model's factor."""
+    return speeds.join(F.broadcast(factors)).select("device", "model", (F.col("speed") * F.col("factor")).alias("images_per_second"))

@@ -401,3 +401,63 @@ def detection_iou_geometry(spark, sf):
     return d.select("image_id", "det_ord", F.round(g.distance(F.lit(0.0), F.lit(0.0), c[0], c[1]), 9).alias("dist"), F.round(g.gap(b, unit, corners=False), 9).alias("gap"))
 
 
+
+
+@query("predicted_labels", fx("fx_classes") + ", r AS (SELECT d.image_id, conf, CASE WHEN conf < 0.5 THEN 'empty' WHEN class_conf >= 0.5 THEN class_name ELSE CASE category WHEN 1 THEN 'animal' WHEN 2 THEN 'person' ELSE 'vehicle' END END AS label, max(conf) OVER (PARTITION BY d.image_id) >= 0.5 AS a FROM fx_detections d JOIN fx_classes c ON d.image_id = c.image_id AND d.det_ord = c.det_ord) SELECT image_id, label, count(*) AS n, max(conf) AS conf FROM r WHERE conf >= 0.5 OR NOT a GROUP BY ALL")
+def predicted_labels(spark, sf):
+    return evaluate.predicted_categories(_classified(Tables(spark, sf)), 0.5, 0.5, {"1": "animal", "2": "person", "3": "vehicle"})
+
+
+@query("confidence_with_truth", fx("fx_detections", "fx_truth") + f", a AS (SELECT {D} FROM fx_detections WHERE det_ord % 2 = 0) SELECT image_id, det_ord, EXISTS (SELECT 1 FROM fx_truth b WHERE a.image_id = b.image_id AND a.category = b.category AND {IOU} >= 0.5) AS truth FROM a")
+def confidence_with_truth(spark, sf):
+    t = Tables(spark, sf)
+    d = t["fx_detections"].filter("det_ord % 2 = 0").select("image_id", "det_ord", "category", "conf", "x", "y", "w", "h")
+    return overlap.with_truth(d.select("image_id", "det_ord"), d, d, t["fx_truth"], 0.5)
+
+
+@query("largest_errors", fx("fx_detections") + " SELECT max(CASE WHEN image_id % 5 = 0 THEN 0.001 ELSE 0.0 END) AS conf_error, CAST(0 AS DOUBLE) AS coord_error FROM fx_detections WHERE image_id % 7 = 0")
+def largest_errors(spark, sf):
+    d = Tables(spark, sf)["fx_detections"].filter("image_id % 7 = 0").select("image_id", "det_ord", "category", "conf", "x", "y", "w", "h").dropDuplicates(["image_id", "category"])
+    shifted = d.withColumn("conf", F.when(F.col("image_id") % 5 == 0, F.col("conf") - 0.001).otherwise(F.col("conf")))
+    return compare.largest_errors(d, shifted).select(F.round("conf_error", 9).alias("conf_error"), "coord_error")
+
+
+@query("n_way_comparison")
+def n_way_comparison(spark, sf):
+    t = Tables(spark, sf)
+    d = t["fx_detections"]
+    return compare.n_way([d.filter(F.col("det_ord") % 3 == k) for k in range(3)], t["fx_images"])
+
+
+@query("review_order")
+def review_order(spark, sf):
+    t = Tables(spark, sf)
+    d = t["fx_detections"].filter("image_id % 20 = 0").join(t["fx_images"].select("image_id", "location"), "image_id")
+    c = d.groupBy("location", "x", "y", "w", "h").agg(F.min(F.col("image_id") * 100 + F.col("det_ord")).alias("cluster"))
+    return overlap.by_place(c)
+
+
+@query("cell_confusion", fx("fx_capture") + ", s AS (SELECT location AS i, list(DISTINCT category) FILTER (WHERE image_id % 17 = 0) AS t, list(DISTINCT category) FILTER (WHERE image_id % 13 = 0) AS p FROM fx_capture GROUP BY 1), e AS (SELECT t AS ts, p AS ps, unnest(t) AS a FROM s), f AS (SELECT ts, ps, a, unnest(ps) AS b FROM e) SELECT a AS truth, b AS pred, count(*) AS n FROM f WHERE NOT (list_contains(ts, b) AND list_contains(ps, a) AND a <> b) GROUP BY ALL")
+def cell_confusion(spark, sf):
+    c = Tables(spark, sf)["fx_capture"]
+    s = c.groupBy("location").agg(F.collect_set(F.when(F.col("image_id") % 17 == 0, F.col("category"))).alias("truth"), F.collect_set(F.when(F.col("image_id") % 13 == 0, F.col("category"))).alias("pred"))
+    return evaluate.multilabel_confusion(s)
+
+
+@query("annotations_with_score", fx("fx_capture") + " SELECT image_id, category FROM fx_capture WHERE image_id % 3 <> 0 AND conf >= 0.1")
+def annotations_with_score(spark, sf):
+    c = Tables(spark, sf)["fx_capture"].withColumn("score", F.when(F.col("image_id") % 3 != 0, F.col("conf")))
+    return filters.annotations_by_score(c, 0.1, missing="drop").select("image_id", "category")
+
+
+@query("sized_confidences", fx("fx_detections") + " SELECT image_id, det_ord, round(CASE WHEN conf <= 0.2 THEN 0.1 WHEN conf < 0.6 THEN 0.1 + (conf - 0.2) * ((0.5 - 0.1) / (0.6 - 0.2)) WHEN conf < 0.9 THEN 0.5 + (conf - 0.6) * ((0.95 - 0.5) / (0.9 - 0.6)) ELSE 0.95 END, 9) AS weight FROM fx_detections")
+def sized_confidences(spark, sf):
+    d = Tables(spark, sf)["fx_detections"]
+    return d.select("image_id", "det_ord", F.round(evaluate.calibrated(F.col("conf"), [(0.2, 0.1), (0.6, 0.5), (0.9, 0.95)]), 9).alias("weight"))
+
+
+@query("video_frames", fx("fx_frames") + " SELECT video_id, frame_number, category FROM fx_frames WHERE frame_number % 2 = 0")
+def video_frames(spark, sf):
+    from fieldlens.operators.crops import sampled_frames
+
+    return sampled_frames(Tables(spark, sf)["fx_frames"], 2).select("video_id", "frame_number", "category")

@@ -230,3 +230,98 @@ def merge_caches(spark: SparkSession, files: list[str]) -> DataFrame:
     if kinds > 1:
         raise ValueError("documents have different detection categories")
     return image_table(docs)
+
+
+#: Camera tags that are read.
+EXIF_TAGS = {0x010F: "make", 0x0110: "model", 0x0132: "modified", 0x9003: "taken"}
+GPS_TAGS = {1: "lat_ref", 2: "lat", 3: "lon_ref", 4: "lon"}
+
+
+def exif_tags(data: bytes) -> dict[str, str]:
+    """The tags of a JPEG file's EXIF block; {} if it has none."""
+    at = data.find(b"Exif\0\0", 0, 1 << 16)
+    if data[:2] != b"\xff\xd8" or at < 0:
+        return {}
+    t = data[at + 6 :]
+    order = "little" if t[:2] == b"II" else "big"
+
+    def number(k: int, n: int) -> int:
+        return int.from_bytes(t[k : k + n], order)
+
+    def fraction(k: int) -> float:
+        return number(k, 4) / max(1, number(k + 4, 4))
+
+    out: dict[str, str] = {}
+
+    def directory(k: int, names: dict[int, str]) -> None:
+        for i in range(number(k, 2) if 0 < k < len(t) else 0):
+            e = k + 2 + 12 * i
+            tag, kind, count = number(e, 2), number(e + 2, 2), number(e + 4, 4)
+            if tag == 0x8769 and names is EXIF_TAGS:
+                directory(number(e + 8, 4), EXIF_TAGS)
+            elif tag == 0x8825 and names is EXIF_TAGS:
+                directory(number(e + 8, 4), GPS_TAGS)
+            elif tag in names and kind == 2:
+                p = e + 8 if count <= 4 else number(e + 8, 4)
+                out[names[tag]] = t[p : p + count].split(b"\0")[0].decode("latin-1").strip()
+            elif tag in names and kind == 5:
+                p = number(e + 8, 4)
+                out[names[tag]] = ",".join(f"{fraction(p + 8 * j):.9g}" for j in range(min(count, 3)))
+
+    directory(number(4, 4), EXIF_TAGS)
+    return out
+
+
+def read_exif(spark: SparkSession, folder: str) -> DataFrame:
+    """path, tags of the files of a folder."""
+
+    def run(batches):
+        import pandas as pd
+
+        for b in batches:
+            yield pd.DataFrame({"path": b["path"], "tags": [exif_tags(c) for c in b["content"]]})
+
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "content")
+    return df.mapInPandas(run, "path string, tags map<string,string>")
+
+
+def selected_tags(tags: Column, include: list[str] | None = None, exclude: list[str] | None = None) -> Column:
+    """Tags by name, without regard to case."""
+    low = [x.lower() for x in (include or exclude or [])]
+    return F.map_filter(tags, lambda k, _: F.lower(k).isin(low) if include else ~F.lower(k).isin(low)) if low else tags
+
+
+def position(tags: Column) -> Column:
+    """(lat, lon) in degrees from camera tags; null where they are missing or out of range."""
+    from fieldlens.functions.geometry import degrees
+
+    def one(v: str, ref: str) -> Column:
+        p = F.transform(F.split(F.try_element_at(tags, F.lit(v)), ","), lambda x: x.try_cast("double"))
+        return degrees(F.get(p, F.lit(0)), F.coalesce(F.get(p, F.lit(1)), F.lit(0.0)), F.coalesce(F.get(p, F.lit(2)), F.lit(0.0)), F.try_element_at(tags, F.lit(ref)))
+
+    lat, lon = one("lat", "lat_ref"), one("lon", "lon_ref")
+    return F.when(lat.between(-90, 90) & lon.between(-180, 180), F.struct(lat.alias("lat"), lon.alias("lon")))
+
+
+def bundle(spark: SparkSession, folder: str, prefix: str, key: str, schema: str) -> DataFrame:
+    """key, records: the rows of all <prefix>*.csv of a folder by a key; missing texts are empty."""
+    rows = spark.read.csv(f"{folder}/{prefix}*.csv", header=True, schema=schema, enforceSchema=False).na.fill("")
+    return rows.groupBy(key).agg(F.collect_list(F.struct(*rows.columns)).alias("records"))
+
+
+#: Words in a model's file name, its version, and the usual threshold of that version.
+MODEL_VERSIONS = (("v5a", "v5a", 0.2), ("v5b", "v5b", 0.2), ("v1000-redwood", "v1000-redwood", 0.2), ("v1000-cedar", "v1000-cedar", 0.2), ("v1000-larch", "v1000-larch", 0.2), ("v1000-sorrel", "v1000-sorrel", 0.2), ("v1000-spruce", "v1000-spruce", 0.2), ("v4", "v4", 0.8), ("v3", "v3", 0.8), ("v2", "v2", 0.8))
+
+
+def model_version(name: Column, first_only: bool = True) -> Column:
+    """Version of a detector by its file name: unknown if none fits; if asked for, multiple if several do."""
+    low = F.lower(paths.basename(paths.forward(name)))
+    hits = F.array_compact(F.array(*[F.when(low.contains(w), v) for w, v, _ in MODEL_VERSIONS]))
+    one = F.coalesce(F.get(hits, F.lit(0)), F.lit("unknown"))
+    return one if first_only else F.when(F.size(hits) > 1, "multiple").otherwise(one)
+
+
+def usual_threshold(stated: Column, detector: Column) -> Column:
+    """A document's stated threshold, else its model's, else 0.2."""
+    own = F.create_map(*[F.lit(x) for _, v, t in MODEL_VERSIONS for x in (v, t)])
+    return F.coalesce(stated.try_cast("double"), F.try_element_at(own, model_version(detector)), F.lit(0.2))

@@ -128,3 +128,89 @@ def denormalised(images: DataFrame, annotations: DataFrame, categories: DataFram
     key = F.lower(F.concat(F.lit(f"{dataset}:"), F.col("name")))
     j = images.select(F.col("id").alias("image_id"), "location").join(annotations, "image_id").join(F.broadcast(categories.withColumnRenamed("id", "category_id")), "category_id")
     return j.withColumn("query", key).join(F.broadcast(taxa), "query").dropDuplicates(["image_id", "category_id"])
+
+
+def from_wide(rows: DataFrame, classes: list[str] | None = None, top: int = 5, least: float = 0.0) -> DataFrame:
+    """A classifier's table of either kind, by its columns: ranked labels of videos, or boxes with class probabilities."""
+    ranked = [c for c in rows.columns if c.startswith("top_") and c.endswith("_label")]
+    if ranked:
+        return from_ranked_labels(rows, len(ranked))
+    fixed = ["file", "row_no", "x1", "y1", "x2", "y2", "conf", "width", "height"]
+    return from_wide_images(rows, classes or [c for c in rows.columns if c not in fixed], top, least)
+
+
+def annotations_from_lines(lines: DataFrame, images: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Label lines and images (file, width, height; -1 where unreadable) to (images with error, annotations in pixels)."""
+    from fieldlens.functions.geometry import to_pixels
+
+    t = F.split(F.trim("line"), r"\s+")
+    num = F.transform(F.slice(t, 2, 4), lambda x: x.cast("double"))
+    ok = lines.filter(~F.col("line").startswith("#") & (F.trim("line") != "")).join(images.filter("width > 0"), "file")
+    boxes = ok.select("file", "line_no", t[0].cast("int").alias("category_id"), to_pixels(center_to_corner(num), F.col("width"), F.col("height")).alias("bbox"))
+    return images.withColumn("error", F.when(F.col("width") <= 0, "unreadable image")), boxes
+
+
+def lines_from_shapes(rows: DataFrame, ids: dict[str, int]) -> DataFrame:
+    """Rectangles (file, width, height, shapes) to label lines with three decimals: clipped to the last pixel, relative to size - 1; those outside are left out."""
+    from fieldlens.operators.categories import lookup
+
+    names = lookup({k: str(v) for k, v in ids.items()})
+    w, h = F.col("width") - 1.0, F.col("height") - 1.0
+
+    def line(s: Column) -> Column:
+        xs, ys = F.transform(s["points"], lambda p: p[0]), F.transform(s["points"], lambda p: p[1])
+        x0, x1, y0, y1 = F.array_min(xs), F.array_max(xs), F.array_min(ys), F.array_max(ys)
+        inside = (x1 >= 0) & (y1 >= 0) & (x0 <= w) & (y0 <= h) & (s["shape_type"] == "rectangle")
+        a, b, c, d = F.greatest(x0, F.lit(0.0)) / w, F.least(x1, w) / w, F.greatest(y0, F.lit(0.0)) / h, F.least(y1, h) / h
+        return F.when(inside, F.format_string("%s %.3f %.3f %.3f %.3f", names[s["label"]], (a + b) / 2, (c + d) / 2, b - a, d - c))
+
+    return rows.select("file", F.array_join(F.array_compact(F.transform("shapes", line)), "\n").alias("text"))
+
+
+def sequence_labels(sequences: DataFrame, where: Column | None = None) -> DataFrame:
+    """One row per image of sequences (seq_id, dataset, class, images: array<struct<file, class>>): the image's class, else its sequence's."""
+    rows = sequences.select("seq_id", "dataset", F.col("class").alias("seq_class"), F.explode("images").alias("i"))
+    out = rows.select("seq_id", "dataset", "i.file", F.coalesce("i.class", "seq_class").alias("class"))
+    return out if where is None else out.filter(where)
+
+
+def crop_dataset(images: DataFrame, detections: DataFrame, conf: float, category: str = "1", least_locations: int | None = None, excluded: DataFrame | None = None, existing: DataFrame | None = None) -> DataFrame:
+    """crop, dataset, location, label, confidence of training crops: confident detections of a category in labelled images (file, dataset, location, label)."""
+    from fieldlens.functions.paths import crop_name
+    from fieldlens.operators.filters import enough_locations
+
+    rows = images.join(detections.filter((F.col("conf") >= conf) & (F.col("category") == category)), "file")
+    rows = rows.select("dataset", "location", "label", F.col("conf").alias("confidence"), crop_name(F.col("file"), F.col("det_ord")).alias("crop"))
+    if existing is not None:
+        rows = rows.join(existing.select("crop").distinct(), "crop", "left_semi")
+    if excluded is not None:
+        rows = rows.join(excluded.select("dataset", "location").distinct(), ["dataset", "location"], "left_anti")
+    return enough_locations(rows, least_locations) if least_locations else rows
+
+
+def labels_from_spec(rows: DataFrame) -> DataFrame:
+    """target, kind, value of a label specification as lines (target, type, content: values joined by commas)."""
+    return rows.select("target", F.col("type").alias("kind"), F.explode(F.transform(F.split("content", ","), lambda v: F.lower(F.trim(v)))).alias("value")).filter("value <> ''")
+
+
+def images_from_exif(rows: DataFrame, as_of: Column, first_year: int = 1990, location: Column | None = None) -> DataFrame:
+    """Annotation-database images from camera tags (file, width, height, taken): no time if it is implausible, unknown location by default."""
+    from fieldlens.functions.times import parse_exif, trusted
+
+    return rows.select(F.translate("file", " ", "_").alias("id"), F.col("file").alias("file_name"), "width", "height", (F.lit("unknown") if location is None else location).alias("location"), trusted(parse_exif(F.col("taken")), as_of, first_year).alias("datetime"))
+
+
+def instances(files: DataFrame, country: str | None = None, region: str | None = None, lat: float | None = None, lon: float | None = None, ignore: tuple[str, ...] = ("$RECYCLE.BIN",), replacements: list[tuple[str, str]] = ()) -> DataFrame:
+    """filepath and where it is, for images of a listing (file)."""
+    from fieldlens.functions.paths import is_image
+
+    if (lat is None) != (lon is None):
+        raise ValueError("latitude and longitude go together")
+    name = F.col("file")
+    for old, new in replacements:
+        name = F.replace(name, F.lit(old), F.lit(new))
+    out = files.filter(is_image(F.col("file")))
+    for t in ignore:
+        out = out.filter(~F.col("file").contains(t))
+    given = {"country": country, "admin1_region": region, "latitude": lat, "longitude": lon}
+    return out.select(name.alias("filepath"), *[F.lit(v).alias(k) for k, v in given.items() if v is not None])

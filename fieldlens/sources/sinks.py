@@ -121,3 +121,26 @@ def paged(rows: DataFrame, order: str, size: int) -> DataFrame:
     from fieldlens.operators.sampling import chunks_of
 
     return chunks_of(rows, size, order).withColumnRenamed("chunk", "page")
+
+
+def dataset_yaml(base: str, classes: list[str], train: str | None = None, val: str | None = None, test: str | None = None) -> str:
+    """A training set's description as YAML."""
+    lines = [f"path: {base}"] + [f"{k}: {v}" for k, v in (("train", train), ("val", val), ("test", test)) if v]
+    return "\n".join([*lines, "names:", *[f"  {i}: {c}" for i, c in enumerate(classes)]]) + "\n"
+
+
+def upload_tables(images: DataFrame, project: str) -> dict[str, DataFrame]:
+    """The tables of a platform upload: projects, cameras, deployments, images. images: file, location, captured_at, name."""
+    loc = images.groupBy("location").agg(F.min("captured_at").alias("start_date"), F.max("captured_at").alias("end_date"))
+    return {
+        "projects": images.sparkSession.range(1).select(F.lit(project).alias("project_id")),
+        "cameras": loc.select(F.lit(project).alias("project_id"), F.col("location").alias("camera_id")),
+        "deployments": loc.select(F.lit(project).alias("project_id"), F.col("location").alias("deployment_id"), "start_date", "end_date"),
+        "images": images.select(F.lit(project).alias("project_id"), F.col("location").alias("deployment_id"), F.col("file").alias("image_id"), F.col("captured_at").alias("timestamp"), F.col("name").alias("common_name")),
+    }
+
+
+def payload_errors(payload_json: Column) -> Column:
+    """What an update message lacks, as a list."""
+    p = F.from_json(payload_json, "data_file_id string, project_id string, prediction string, prediction_score double, model_version string, prediction_source string")
+    return F.array_compact(F.array(*[F.when(p[c].isNull(), c) for c in ("data_file_id", "project_id", "prediction", "prediction_source")], F.when(~p["prediction_score"].between(0, 1), "prediction_score range"), F.when(F.size(F.split(p["prediction"], ";")) != 7, "prediction form")))

@@ -283,3 +283,54 @@ def test_filters_keep_failed(spark):
     d = spark.createDataFrame([("a", None, [("1", 0.1)]), ("b", "x", None)], "file string, failure string, detections array<struct<category:string,conf:double>>")
     got = {r["file"]: r["detections"] for r in filters.by_confidence(d, 0.5).collect()}
     assert got == {"a": [], "b": None}
+
+
+def test_exif(spark, tmp_path):
+    def tag(t, kind, n, value):
+        return t.to_bytes(2, "big") + kind.to_bytes(2, "big") + n.to_bytes(4, "big") + value
+
+    text = b"2021:02:03 04:05:06\0"
+    body = b"MM\0*" + (8).to_bytes(4, "big") + (1).to_bytes(2, "big") + tag(0x9003, 2, 20, (26).to_bytes(4, "big")) + b"\0\0\0\0" + text
+    (tmp_path / "a.jpg").write_bytes(b"\xff\xd8\xff\xe1\0\0Exif\0\0" + body)
+    (tmp_path / "b.jpg").write_bytes(b"nothing")
+    got = {r["path"][-5:]: r["tags"] for r in documents.read_exif(spark, str(tmp_path)).collect()}
+    assert got == {"a.jpg": {"taken": "2021:02:03 04:05:06"}, "b.jpg": {}}
+    assert documents.header_size(b"\x89PNG\r\n\x1a\n" + b"\0" * 8 + (7).to_bytes(4, "big") + (9).to_bytes(4, "big")) == (7, 9)
+    tags = F.create_map(*map(F.lit, ("lat", "10,30,0", "lat_ref", "S", "lon", "20,0,0", "lon_ref", "E")))
+    assert tuple(one(spark, documents.position(tags))) == (-10.5, 20.0)
+
+
+def test_lookups(spark):
+    assert one(spark, documents.model_version(F.lit("x/md_v5a.0.0.pt"))) == "v5a"
+    assert one(spark, documents.model_version(F.lit("a_v5a_v4.pt"), first_only=False)) == "multiple"
+    assert one(spark, documents.usual_threshold(F.lit(None).cast("string"), F.lit("model_v4.1.pb"))) == 0.8
+    assert one(spark, documents.usual_threshold(F.lit("0.3"), F.lit("model_v4.1.pb"))) == 0.3
+
+
+def test_ordering(spark):
+    d = spark.createDataFrame([(2,), (None,), (1,)], "k int")
+    assert [r[0] for r in evaluate.ordered(d, "k").collect()] == [None, 1, 2]
+    assert [r[0] for r in evaluate.ordered(d, "k", falling=True).collect()] == [2, 1, None]
+    assert [r[0] for r in evaluate.ordered(d, "k", nulls="largest").collect()] == [1, 2, None]
+    with pytest.raises(Exception, match="null k"):
+        evaluate.ordered(d, "k", nulls="error").collect()
+    m = F.create_map(F.lit("a"), F.lit(2), F.lit("b"), F.lit(1))
+    assert [e["key"] for e in one(spark, evaluate.sorted_map(m, by_value=True))] == ["b", "a"]
+
+
+def test_place_order(spark):
+    rows = [("l", 0, 0.50, 0.5, 0.1, 0.1), ("l", 1, 0.10, 0.1, 0.1, 0.1), ("l", 2, 0.52, 0.5, 0.1, 0.1), ("l", 3, 0.12, 0.1, 0.1, 0.1)]
+    d = spark.createDataFrame(rows, "location string, cluster long, x double, y double, w double, h double")
+    assert {r["cluster"]: r["place"] for r in overlap.by_place(d).collect()} == {1: 0, 3: 1, 0: 2, 2: 3}
+
+
+def test_shapes_to_lines(spark):
+    s = spark.createDataFrame([("f", 11, 11, [("a", "rectangle", [[-5.0, 0.0], [5.0, 10.0]]), ("a", "rectangle", [[50.0, 50.0], [60.0, 60.0]])])], "file string, width int, height int, shapes array<struct<label:string,shape_type:string,points:array<array<double>>>>")
+    assert formats.lines_from_shapes(s, {"a": 3}).first()["text"] == "3 0.250 0.500 0.500 1.000"
+    assert sinks.dataset_yaml("d", ["x"], train="t") == "path: d\ntrain: t\nnames:\n  0: x\n"
+
+
+def test_payload(spark):
+    d = spark.createDataFrame([("f",)], "id string")
+    p = d.select(sinks.payload("id", "p", F.lit("a;b;c;d;e;f;g")).alias("j"))
+    assert p.select(sinks.payload_errors(F.col("j")).alias("e")).first()["e"] == []
