@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldlens.operators.running import running
+
 #: Names that mean nothing was there, and that nothing is known.
 NEGATIVE = ("empty",)
 UNKNOWN = ("unknown", "unlabeled", "ambiguous")
@@ -27,16 +29,31 @@ def pr_points(scored: DataFrame, score: str = "score", truth: str = "truth") ->
     The running sums go over distinct scores, after aggregation.
     """
     per = scored.groupBy(score).agg(F.sum(truth).cast("long").alias("p"), F.count(F.lit(1)).alias("k"))
-    run = Window.orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = per.select(F.col(score).alias("score"), F.sum("p").over(run).alias("tp"), F.sum("k").over(run).alias("n"))
+    out = running(per.withColumnRenamed(score, "score"), "score", {"tp": "p", "n": "k"}, falling=True).select("score", "tp", "n")
     total = per.agg(F.sum("p").alias("total"))
     return out.join(F.broadcast(total)).select("score", "tp", "n", (F.col("tp") / F.col("n")).alias("precision"), (F.col("tp") / F.col("total")).alias("recall"))
 
 
+def running_steps(points: DataFrame) -> DataFrame:
+    """points with step, the positives at each score: the difference of tp to the next higher score, by a lag within buckets of scores.
+
+    The first score of a bucket takes its predecessor from the buckets' last rows, which are a few.
+    """
+    b = F.floor(F.col("score") * 64)
+    rows = points.withColumn("_b", b)
+    inner = Window.partitionBy("_b").orderBy(F.col("score").desc())
+    ends = rows.groupBy("_b").agg(F.max("tp").alias("_e"))
+    outer = Window.orderBy(F.col("_b").desc())
+    before = ends.select("_b", F.coalesce(F.lag("_e").over(outer), F.lit(0)).alias("_p"))
+    return rows.join(F.broadcast(before), "_b").withColumn("step", F.col("tp") - F.coalesce(F.lag("tp").over(inner), F.col("_p"))).drop("_b", "_p")
+
+
 def average_precision(points: DataFrame) -> DataFrame:
     """One row: ap, the sum of precision times the recall gained."""
-    gained = F.col("recall") - F.coalesce(F.lag("recall").over(Window.orderBy(F.col("score").desc())), F.lit(0.0))
-    return points.select((gained * F.col("precision")).alias("x")).agg(F.sum("x").alias("ap"))
+    # the recall gained at a score is its own positives' share: running sums of sums need no order here
+    total = points.agg(F.max("tp").alias("total"))
+    own = running_steps(points)
+    return own.join(F.broadcast(total)).agg(F.sum(F.col("step") / F.col("total") * F.col("precision")).alias("ap"))
 
 
 def precision_at(points: DataFrame, recall: float) -> DataFrame:
@@ -83,7 +100,7 @@ def equivalent_threshold(a: DataFrame, b: DataFrame, threshold: float = 0.2, con
     share = a.agg((F.count_if(F.col(conf) >= threshold) / F.count(F.lit(1))).alias("share"), F.count_if(F.col(conf) >= threshold).alias("na"))
     per = b.groupBy(F.col(conf).alias("c")).agg(F.count(F.lit(1)).alias("k"))
     total = b.agg(F.count(F.lit(1)).alias("nb"), F.count_if(F.col(conf) >= threshold).alias("nb_t"))
-    ranks = per.withColumn("upto", F.sum("k").over(Window.orderBy("c").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    ranks = running(per, "c", {"upto": "k"})
     # rank (from 0) of the wanted one: nb - round(nb * share)
     need = ranks.join(F.broadcast(share.join(total))).withColumn("rank", F.col("nb") - F.bround(F.col("nb") * F.col("share"), 0).cast("long"))
     found = need.filter(F.col("upto") > F.col("rank")).agg(F.min("c").alias("t"), F.first("na").alias("na"), F.first("nb_t").alias("nb_t"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldlens.operators.running import ranked
+
 
 def shuffled(ident: str, seed: int) -> Column:
     """An order that looks random and is fixed by the seed."""
@@ -46,14 +48,19 @@ def proportional(cells: DataFrame, most: int, n: str = "n") -> DataFrame:
 
 
 def chunks_of(rows: DataFrame, size: int, order: str) -> DataFrame:
-    """rows with chunk: runs of so many rows in the order. Ranks are global, so this is for lists of moderate length; partition them for more."""
-    return rows.withColumn("chunk", F.floor((F.row_number().over(Window.orderBy(order)) - 1) / size).cast("long"))
+    """rows with chunk: runs of so many rows in the order (a column of distinct values)."""
+    return ranked(rows, order, "_r").withColumn("chunk", F.floor(F.col("_r") / size).cast("long")).drop("_r")
 
 
 def n_chunks(rows: DataFrame, n: int, order: str, balanced: bool = False) -> DataFrame:
     """n chunks: contiguous, the first ones with one more; balanced deals round robin."""
-    by = Window.orderBy(order)
-    return rows.withColumn("chunk", ((F.row_number().over(by) - 1) % n if balanced else F.ntile(n).over(by) - 1).cast("long"))
+    if balanced:
+        return ranked(rows, order, "_r").withColumn("chunk", F.col("_r") % n).drop("_r")
+    total = rows.agg(F.count(F.lit(1)).alias("_n"))
+    small, more = F.floor(F.col("_n") / n), F.col("_n") % n
+    head = more * (small + 1)  # rows of the chunks that have one more
+    chunk = F.when(F.col("_r") < head, F.floor(F.col("_r") / (small + 1))).otherwise(more + F.floor((F.col("_r") - head) / F.greatest(small, F.lit(1))))
+    return ranked(rows, order, "_r").join(F.broadcast(total)).withColumn("chunk", chunk.cast("long")).drop("_r", "_n")
 
 
 def sorted_locations(sizes: DataFrame, prioritized: list[str] | None = None) -> DataFrame:

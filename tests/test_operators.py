@@ -334,3 +334,23 @@ def test_payload(spark):
     d = spark.createDataFrame([("f",)], "id string")
     p = d.select(sinks.payload("id", "p", F.lit("a;b;c;d;e;f;g")).alias("j"))
     assert p.select(sinks.payload_errors(F.col("j")).alias("e")).first()["e"] == []
+
+
+def test_running_sums(spark):
+    import random
+
+    from fieldlens.operators.running import ranked, running
+
+    rnd = random.Random(9)
+    keys = rnd.sample(range(10**6), 3000)
+    d = spark.createDataFrame([(k / 7, k % 11) for k in keys], "k double, v long").repartition(6)
+    for falling in (False, True):
+        got = {r["k"]: r["s"] for r in running(d, "k", {"s": "v"}, falling).collect()}
+        total = 0
+        for k in sorted(keys, reverse=falling):
+            total += k % 11
+            assert got[k / 7] == total
+    assert [r["rank"] for r in ranked(d, "k").orderBy("k").collect()] == list(range(3000))
+    assert running(d.filter("k < 0"), "k", {"s": "v"}).count() == 0
+    c = sampling.n_chunks(d, 7, "k").groupBy("chunk").count().orderBy("chunk").collect()
+    assert [r["count"] for r in c] == [429] * 4 + [428] * 3
