@@ -415,7 +415,7 @@ def confidence_with_truth(spark, sf):
     return overlap.with_truth(d.select("image_id", "det_ord"), d, d, t["fx_truth"], 0.5)
 
 
-@query("largest_errors", fx("fx_detections") + " SELECT max(CASE WHEN image_id % 5 = 0 THEN 0.001 ELSE 0.0 END) AS conf_error, CAST(0 AS DOUBLE) AS coord_error FROM fx_detections WHERE image_id % 7 = 0")
+@query("largest_errors", fx("fx_detections") + " SELECT max(CASE WHEN image_id % 5 = 0 THEN CAST(0.001 AS DOUBLE) ELSE 0.0 END) AS conf_error, CAST(0 AS DOUBLE) AS coord_error FROM fx_detections WHERE image_id % 7 = 0")
 def largest_errors(spark, sf):
     d = Tables(spark, sf)["fx_detections"].filter("image_id % 7 = 0").select("image_id", "det_ord", "category", "conf", "x", "y", "w", "h").dropDuplicates(["image_id", "category"])
     shifted = d.withColumn("conf", F.when(F.col("image_id") % 5 == 0, F.col("conf") - 0.001).otherwise(F.col("conf")))

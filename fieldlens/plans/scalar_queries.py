@@ -202,7 +202,7 @@ def split_locations(spark, sf):
     return sampling.split_search(c, 200, 0.15)
 
 
-@query("roll_up_scores", "WITH s AS (SELECT c_custkey AS crop_id, 'a;b;c;d;e' AS taxonomy, 0.4 AS score FROM customer UNION ALL SELECT c_custkey, 'a;b;c;d;f', CASE WHEN c_custkey % 2 = 0 THEN 0.35 ELSE 0.1 END FROM customer UNION ALL SELECT c_custkey, 'a;b;x;y;z', 0.2 FROM customer) SELECT crop_id, CASE WHEN crop_id % 2 = 0 THEN 'a;b;c;d' ELSE 'a;b' END AS taxon, round(CASE WHEN crop_id % 2 = 0 THEN 0.75 ELSE 0.7 END, 9) AS score FROM (SELECT DISTINCT crop_id FROM s)")
+@query("roll_up_scores", "WITH s AS (SELECT c_custkey AS crop_id, 'a;b;c;d;e' AS taxonomy, 0.4 AS score FROM customer UNION ALL SELECT c_custkey, 'a;b;c;d;f', CASE WHEN c_custkey % 2 = 0 THEN 0.35 ELSE 0.1 END FROM customer UNION ALL SELECT c_custkey, 'a;b;x;y;z', 0.2 FROM customer) SELECT crop_id, CASE WHEN crop_id % 2 = 0 THEN 'a;b;c;d' ELSE 'a;b' END AS taxon, round(CASE WHEN crop_id % 2 = 0 THEN CAST(0.75 AS DOUBLE) ELSE 0.7 END, 9) AS score FROM (SELECT DISTINCT crop_id FROM s)")
 def roll_up_scores(spark, sf):
     c = Tables(spark, sf)["customer"].select(F.col("c_custkey").alias("crop_id"))
     odd = F.when(F.col("crop_id") % 2 == 0, 0.35).otherwise(0.1)
