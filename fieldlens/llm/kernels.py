@@ -6,7 +6,7 @@ import functools
 
 import numpy as np
 
-from fieldlens.llm.support import mix64
+from fieldlens.llm.support import keeps, mix64
 
 #: An odd base, and its inverse modulo 2 ** 64.
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -20,6 +20,9 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+keeps("kernels", _powers.cache_clear)
+
+
 def powers(base: int, n: int) -> np.ndarray:
     """base ** 0 .. base ** (n - 1) modulo 2 ** 64."""
     return _powers(base, max(1 << 21, 1 << max(0, n - 1).bit_length()))[:n]

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldlens.llm.registry import query, table
-from fieldlens.llm.support import buffers, chunks, text_column
+from fieldlens.llm.support import buffers, chunks, task_of, text_column
 
 #: The bound on the labelled rows that are fitted, the embeddings' size and the passes.
 TRAIN_ROWS, DIM, EPOCHS, MOST_ERROR = 4000, 12, 6, 0.01
@@ -139,7 +139,7 @@ def judge(model: LanguageModel | None, col: pa.Array) -> tuple[np.ndarray, np.nd
     names, scores, limit = np.full(n, UND, dtype=object), np.zeros(n), 1.0
     if model is not None:
         limit = model.limit
-        for i, j in chunks(offsets):
+        for i, j in chunks(offsets, 1 << 20):
             at = offsets[i : j + 1] - offsets[i]
             lengths = np.diff(at)
             full = np.flatnonzero(lengths)
@@ -161,6 +161,7 @@ def predict(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id"
     """doc_id, lang_pred, score, rejected."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task_of("language_id")
         for batch in batches:
             names, scores, rejected = judge(model, text_column(batch, "text"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores), pa.array(rejected.astype(bool))], names=["doc_id", "lang_pred", "score", "rejected"])
@@ -172,6 +173,7 @@ def accepted(docs: DataFrame, model: LanguageModel | None, text_col: str = "text
     """The rows of docs, all columns, whose text isn't rejected."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task_of("language_id")
         for batch in batches:
             yield batch.filter(pa.array(~judge(model, text_column(batch, text_col))[2].astype(bool)))
 

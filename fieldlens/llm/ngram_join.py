@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from fieldlens.llm import kernels
 from fieldlens.llm.registry import query, table
-from fieldlens.llm.support import buffers, chunks, components, groups, materialize, mix64, small, text_column
+from fieldlens.llm.support import buffers, chunks, components, groups, materialize, mix64, small, task_of, text_column
 
 SHINGLE, LIMIT, TREES, DEPTH, RECALL = 5, 0.8, 16, 8, 0.999
 #: Members of a block of a bucket.
@@ -69,6 +69,7 @@ def labels(docs: DataFrame, depth: int, trees: int = TREES, seed: int = 11) -> D
     b = rng.integers(0, 1 << 63, values, dtype=np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task_of("kernels")
         for batch in batches:
             data, offsets = buffers(text_column(batch, "text"))
             for i, j in chunks(offsets):
@@ -95,6 +96,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     """rep, shingles: the sorted distinct shingle hashes of each text, as 64-bit words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task_of("kernels")
         for batch in batches:
             data, offsets = buffers(text_column(batch, "text"))
             for i, j in chunks(offsets):
@@ -133,6 +135,7 @@ def verified(members: DataFrame, limit: float) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task_of("kernels")
         for t in groups(batches):
             tree = t.column("tree")[0].as_py()
             side, rep = t.column("side").to_numpy(), t.column("rep").to_numpy()
@@ -178,7 +181,7 @@ def ngram_join(docs: DataFrame, limit: float = LIMIT, recall: float = RECALL, tr
     classes = rows.filter("n_words > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
     classes = materialize(classes, "classes")
     leaves = classes.filter("rep is not null").select("rep", F.posexplode("keys").alias("tree", "key"))
-    shared = leaves.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = materialize(leaves.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "shared")
     members = materialize(leaves.join(shared, ["tree", "key"]), "members").join(classes.select("rep", "keys"), "rep")
     members = materialize(members, "members-keys")
     # a bucket whose members all share an earlier tree's bucket has no pair of its own
@@ -187,7 +190,7 @@ def ngram_join(docs: DataFrame, limit: float = LIMIT, recall: float = RECALL, tr
     earlier = F.lit(False)
     for e in range(trees - 1):
         earlier = earlier | (F.col(f"e{e}") & (F.col("tree") > e))
-    own = members.join(alike.filter(~earlier).select("tree", "key"), ["tree", "key"])
+    own = members.join(materialize(alike.filter(~earlier).select("tree", "key"), "own-buckets"), ["tree", "key"])
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = own.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep", "key"), F.col("blocks")).cast("int"))
     own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldlens.llm.registry import query, table
-from fieldlens.llm.support import materialize, text_column
+from fieldlens.llm.support import materialize, task_of, text_column
 
 SIZE, END_ID = 2048, 0
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -48,6 +48,7 @@ def tokenized_pieces(docs: DataFrame, vocabulary: str, size: int = SIZE, end_id:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from fieldlens.llm.tokenize import text_encoder
 
+        task_of("tokenize")
         encoder, end = text_encoder(vocabulary), end_id.to_bytes(4, "little")
         for batch in batches:
             rows: list[tuple] = []

@@ -17,6 +17,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 _SHIPPED: set[str] = set()
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
@@ -31,6 +32,9 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(root.parent))
     sc.addPyFile(path)
     _SHIPPED.add(sc.applicationId)
+    # rows of text are long: smaller batches than the default keep workers small
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, "2000")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldlens.llm.kernels import INVERSE, minimizers, powers, sums
-from fieldlens.llm.support import buffers, chunks, materialize, mix64, small, text_column
+from fieldlens.llm.support import buffers, chunks, materialize, mix64, small, task_of, text_column
 
 #: (data, offsets) -> (values of all units, borders of the texts in units)
 Units = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
@@ -54,6 +54,7 @@ def contexts(docs: DataFrame, how: Windows) -> DataFrame:
     k, w = how.gram, how.window
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task_of("kernels")
         for batch in batches:
             data, offsets = buffers(text_column(batch, "text"))
             ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -91,13 +92,14 @@ class Recurring:
 
 def recurring(docs: DataFrame, how: Windows) -> Recurring:
     rows = materialize(contexts(docs, how), "contexts")
-    often = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("anchor")
+    # written first: a join of two plain exchanges can be split where an anchor has very many rows
+    often = materialize(rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("anchor"), "often")
     rows = materialize(rows.join(often, "anchor"), "recurring")
     kinds = rows.groupBy("anchor", "ctx", "n").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "first")).alias("rep"))
     kinds = materialize(kinds.select("anchor", "ctx", "n", "copies", "rep.doc_id", "rep.first"), "kinds")
     copied = kinds.filter("copies > 1").select("anchor", "ctx", "n", F.col("doc_id").alias("d0"), F.col("first").alias("f0"))
     whole = rows.join(copied, ["anchor", "ctx", "n"]).select("doc_id", "first", "n", ((F.col("doc_id") == F.col("d0")) & (F.col("first") == F.col("f0"))).alias("kept"))
-    several = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
+    several = materialize(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"), "several")
     return Recurring(whole, materialize(kinds.join(several, "anchor"), "several-kinds"))
 
 
@@ -110,6 +112,7 @@ def with_content(docs: DataFrame, kinds: DataFrame, how: Windows, content: Calla
     w = how.window
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task_of("kernels")
         for batch in batches:
             for doc_id, text, found in zip(batch.column(0).to_pylist(), text_column(batch, "text"), batch.column(2).to_pylist(), strict=True):
                 cut = content(text.as_buffer().to_pybytes())
@@ -135,6 +138,7 @@ def counted_windows(content: DataFrame, how: Windows) -> DataFrame:
     w = how.window
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task_of("kernels")
         for batch in batches:
             for copies, doc_id, first, n, text in zip(*(batch.column(c).to_pylist() for c in ("copies", "doc_id", "first", "n", "content")), strict=True):
                 data = np.frombuffer(text, np.uint8)

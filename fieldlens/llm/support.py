@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +39,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: What worker processes keep from task to task, by its owner: functions that let go of it.
+_KEPT: dict[str, Callable[[], None]] = {}
+
+
+def keeps(owner: str, clear: Callable[[], None]) -> None:
+    """Register what a module keeps in a worker process between tasks."""
+    _KEPT[owner] = clear
+
+
+def task_of(owner: str) -> None:
+    """Called as a task starts: workers are used again, so what other operators kept there goes."""
+    for name, clear in _KEPT.items():
+        if name != owner:
+            clear()
+
+
 def text_column(batch: pa.RecordBatch, name: str) -> pa.Array:
     """A string column with nulls as empty strings, 64-bit offsets, in one piece."""
     col = pc.fill_null(batch.column(name).cast(pa.large_string()), "")
@@ -116,7 +132,8 @@ def components(edges: DataFrame) -> DataFrame:
             both = e.union(e.select("b", "a")).toDF("a", "b")
         else:
             both = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        # written first: a join of two plain exchanges can be split where a hub has very many edges
+        least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
         linked = both.join(least, "a")
         moved = linked.filter(F.col("b") > F.col("a")) if large else linked
         return moved.select(F.col("b").alias("a"), F.col("m").alias("b")).union(linked.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldlens.llm.registry import query, table
-from fieldlens.llm.support import text_column
+from fieldlens.llm.support import keeps, task_of, text_column
 
 MARK, OFFSET, UNKNOWN, MOST_NODES, MOST_WORDS = "▁", 2.7, -30.0, 700_000, 500_000
 
@@ -97,10 +97,14 @@ def trie(path: str) -> Trie:
     return Trie(pieces(path))
 
 
+keeps("token_counts", trie.cache_clear)
+
+
 def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_pretokens, n_tokens of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task_of("token_counts")
         t = trie(vocabulary)
         for batch in batches:
             words, counts = [], []

@@ -22,6 +22,8 @@ import os
 import re
 from array import array
 
+from fieldlens.llm.support import keeps
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: The pre-token patterns of the two vocabularies.
@@ -30,8 +32,8 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Characters whose class, case and normal form are the same in every Unicode version; on these, the patterns with their letters spelled out say the same.
 PLAIN = re.compile(r"[ \n!-~À-ÖØ-Ýß-öø-ÿ]*")
 LETTERS = "A-Za-zÀ-ÖØ-Ýß-öø-ÿ"
-#: Entries of a memo; a full memo is emptied.
-MEMO = 400_000
+#: Entries of the memos of parts and of pre-tokens; a full memo is emptied.
+MEMO, TOKEN_MEMO = 650_000, 100_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -71,7 +73,7 @@ class Pieces(dict):
         out = []
         for t in self.pattern.findall(text.lower() if self.words else text):
             if (b := self.memo.get(t)) is None:
-                if len(self.memo) >= MEMO:
+                if len(self.memo) >= TOKEN_MEMO:
                     self.memo.clear()
                 self.memo[t] = b = self.bpe(t)
             out.append(b)
@@ -106,6 +108,9 @@ def text_encoder(path: str) -> TextEncoder:
     return TextEncoder(path)
 
 
+keeps("tokenize", text_encoder.cache_clear)
+
+
 class TextEncoder:
     """Ids of whole texts, as 32-bit words in the machine's (little-endian) order."""
 
@@ -120,6 +125,8 @@ class TextEncoder:
         head, _, tail = text.partition(" ")
         try:
             if self.words:
+                if text.isascii():  # of one case, its words are fewer
+                    text = text.lower()
                 return b"".join(map(self.rest.__getitem__, text.split(" ")))
             if head and not edge(head[-1]):
                 first = self.rest.part(head)
