@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldlens.llm.registry import query, table
-from fieldlens.llm.support import materialize, text_column, work_path
+from fieldlens.llm.support import materialize, task_of, text_column, work_path
 
 #: Ids in a word, and bits of each, by selector.
 COUNTS = np.array([1, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
@@ -36,7 +36,7 @@ WIDTHS = BITS[1:].tolist()
 SMALL_GRADES = np.searchsorted(np.array([1 << b for b in WIDTHS]), np.arange(1 << 16), side="right").astype(np.int8)
 BLOCK, MAGIC, END_ID = 512, b"FLS8", 1
 #: Ids that are coded at once.
-CODE_IDS = BLOCK * 1024
+CODE_IDS = BLOCK * 256
 
 
 def grades(values: np.ndarray) -> np.ndarray:
@@ -65,11 +65,16 @@ def encode_words(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         half = tops[p // 2]
         tops[p] = half.copy()
         np.maximum(half[: -(p // 2)], half[p // 2 :], out=tops[p][: -(p // 2)])
-    best = np.zeros(n, np.int8)  # selector by position
+    # what fits a selector fits all with fewer and wider values, so a count of those that fit says which is the best
+    best = np.full(n, 16, np.int8)
     for s in range(15, 0, -1):
         c = int(COUNTS[s])
         p = 1 << (c.bit_length() - 1)
-        best[np.maximum(tops[p][:n], tops[p][c - p : c - p + n]) <= s - 1] = s
+        fits = np.maximum(tops[p][:n], tops[p][c - p : c - p + n]) <= s - 1
+        if not fits.any():
+            break
+        best -= fits
+    best[best == 16] = 0
     take = COUNTS[best]
     cur, live, begins = np.arange(blocks) * BLOCK, np.arange(blocks), np.zeros(n, bool)
     while len(live):
@@ -199,6 +204,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, folder: str, end_id: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from fieldlens.llm.tokenize import text_encoder
 
+        task_of("tokenize")
         encoder, end = text_encoder(vocabulary), end_id.to_bytes(4, "little")
         shard = TaskContext.get().partitionId()
         path = f"{folder}/shard-{shard:06d}.ids"
@@ -224,6 +230,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
         before += f["ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task_of("token_files")
         for batch in batches:
             for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 out: list[tuple] = []
