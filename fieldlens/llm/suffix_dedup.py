@@ -69,17 +69,25 @@ class RunLengthIndex:
         key = np.zeros(n, np.uint64)
         for b in range(8):
             key = (key << np.uint64(8)) | wide[b : b + n]
-        size, order = 8, np.argsort(key, kind="stable")
-        rank = self._rank(key, order)
-        while True:  # order by twice as many bytes
+        # a rank is the place of the first suffix with the same prefix; only suffixes that tie are sorted on
+        size, order, rank, place = 8, np.argsort(key), np.empty(n, np.int32), np.arange(n)
+        rank[order] = self._firsts(key[order])
+        while True:
             self.ranks.append((size, rank))
-            if rank[order[-1]] == n - 1:
+            alone = rank[order] == place
+            alone &= np.append(alone[1:], True)
+            tied = np.flatnonzero(~alone)
+            if not len(tied):
                 break
-            after = np.zeros(n, np.int64)
-            after[: max(0, n - size)] = rank[size:].astype(np.int64) + 1
-            key = rank.astype(np.int64) * (n + 1) + after
-            order = np.argsort(key, kind="stable")
-            rank = self._rank(key, order)
+            sub = order[tied]  # by twice as many bytes
+            after = np.zeros(len(sub), np.int64)
+            inside = sub + size < n
+            after[inside] = rank[sub[inside] + size].astype(np.int64) + 1
+            key = rank[sub].astype(np.int64) * (n + 2) + after
+            by = np.argsort(key)
+            order[tied] = sub = sub[by]
+            rank = rank.copy()
+            rank[sub] = tied[self._firsts(key[by])]
             size *= 2
         bwt = text[order - 1]
         edge = np.flatnonzero(np.append(True, bwt[1:] != bwt[:-1]))
@@ -89,11 +97,10 @@ class RunLengthIndex:
         self.before, self.after = np.append(-1, order[edge[1:] - 1]), np.append(order[end[:-1] + 1], -1)
 
     @staticmethod
-    def _rank(key: np.ndarray, order: np.ndarray) -> np.ndarray:
-        sorted_key = key[order]
-        out = np.empty(len(key), np.int32)
-        out[order] = np.cumsum(np.append(0, sorted_key[1:] != sorted_key[:-1]))
-        return out
+    def _firsts(keys: np.ndarray) -> np.ndarray:
+        """For each of sorted keys the place of the first equal one."""
+        new = np.append(True, keys[1:] != keys[:-1])
+        return np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Lengths of the common prefixes of suffixes; 0 where one is missing (-1)."""
