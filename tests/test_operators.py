@@ -1,5 +1,6 @@
 import itertools
 import json
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -324,6 +325,53 @@ def test_place_order(spark):
     assert {r["cluster"]: r["place"] for r in overlap.by_place(d).collect()} == {1: 0, 3: 1, 0: 2, 2: 3}
 
 
+def dense_places(rows, threshold):
+    """(location, cluster) to place by a full distance matrix."""
+    import numpy as np
+
+    out = {}
+    for loc in {r[0] for r in rows}:
+        at = sorted((r for r in rows if r[0] == loc), key=lambda r: r[1])
+        c = np.array([(x + w / 2, y + h / 2) for _, _, x, y, w, h in at])
+        far = np.sqrt(((c[:, None] - c[None]) ** 2).sum(axis=2))
+        np.fill_diagonal(far, np.inf)
+        group = {i: [i] for i in range(len(c))}
+        while True:
+            i, j = np.unravel_index(np.argmin(far), far.shape)
+            if not far[i, j] < threshold:
+                break
+            far[i] = np.maximum(far[i], far[j])
+            far[:, i] = far[i]
+            far[j] = far[:, j] = np.inf
+            group[i] += group.pop(j)
+        order = sorted(group, key=lambda g: (math.fsum(at[i][2] for i in group[g]) / len(group[g]), g))
+        flat = [i for g in order for i in sorted(group[g], key=lambda i: (c[i, 0], i))]
+        out |= {(loc, at[i][1]): k for k, i in enumerate(flat)}
+    return out
+
+
+def test_place_order_equals_dense(spark):
+    import random
+
+    rnd = random.Random(6)
+    free = [("a", k, rnd.random(), rnd.random(), rnd.random() / 5, rnd.random() / 5) for k in range(250)]
+    ties = [("b", k, rnd.randrange(11) * 0.05, rnd.randrange(9) * 0.05, rnd.randrange(1, 5) / 10, rnd.randrange(1, 5) / 10) for k in range(300)]
+    apart = [("c", k, rnd.choice([0.0, 5.0]) + rnd.random() / 8, rnd.choice([0.0, 3.0]) + rnd.random() / 8, 0.1, 0.1) for k in range(60)]
+    rows = free + ties + apart
+    d = spark.createDataFrame(rows, "location string, cluster long, x double, y double, w double, h double")
+    for t in (0.1, 0.03):
+        assert {(r["location"], r["cluster"]): r["place"] for r in overlap.by_place(d.repartition(5), t).collect()} == dense_places(rows, t)
+
+
+def test_review_order_takes_all_boxes(spark):
+    from fieldlens.plans.catalog import QUERIES
+    from fieldlens.plans.fixtures import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    boxes = t["fx_detections"].join(t["fx_images"].select("image_id", "location"), "image_id").select("location", "x", "y", "w", "h").distinct()
+    assert QUERIES["review_order"](spark, "/root/testdata/sf0.001").count() == boxes.count()
+
+
 def test_shapes_to_lines(spark):
     s = spark.createDataFrame([("f", 11, 11, [("a", "rectangle", [[-5.0, 0.0], [5.0, 10.0]]), ("a", "rectangle", [[50.0, 50.0], [60.0, 60.0]])])], "file string, width int, height int, shapes array<struct<label:string,shape_type:string,points:array<array<double>>>>")
     assert formats.lines_from_shapes(s, {"a": 3}).first()["text"] == "3 0.250 0.500 0.500 1.000"
