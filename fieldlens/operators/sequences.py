@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def sequences(images: DataFrame, gap_s: float = 60.0, location: str = "location", time: str = "captured_at", ident: str = "image_id") -> DataFrame:
@@ -57,15 +62,48 @@ def video_detections(frames: DataFrame, nth: int | None = 1) -> DataFrame:
     return (ranked if nth is None else ranked.filter(F.col("_r") == nth)).drop("_r")
 
 
+def _folded(frames: DataFrame, keys: list[str], order: str, value: str, out: str, kind: T.DataType, step: Callable) -> DataFrame:
+    """frames with out: step(state, value) gives each row's (state, out), in order within the keys; the state before a first row is None.
+
+    Rows come sorted by keys, so a task holds one batch and one state, however many rows a key has.
+    """
+    schema = T.StructType([*frames.schema.fields, T.StructField(out, kind)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state = None, None
+        for batch in batches:
+            got = []
+            for key, v in zip(zip(*[batch.column(k).to_pylist() for k in keys], strict=True), batch.column(value).to_pylist(), strict=True):
+                if key != last:
+                    last, state = key, None
+                state, x = step(state, v)
+                got.append(x)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.float64() if kind == T.DoubleType() else pa.int32())], [*batch.schema.names, out])
+
+    return frames.repartition(*keys).sortWithinPartitions(*keys, order).mapInArrow(run, schema)
+
+
 def motion_history(frames: DataFrame, decay: float, camera: str = "camera", order: str = "frame_number", motion: str = "motion") -> DataFrame:
-    """frames with history: a decayed fold of motion over a camera's frames, h = decay * h + motion.
+    """frames with history: a decayed fold of motion over all of a camera's frames, h = decay * h + motion. A null motion counts as 0."""
 
-    As a fold it needs no state between rows: the sum of motion * decay^-k over
-    the rows so far, scaled back. Restarts each 256 rows bound the exponents.
+    def step(h: float | None, m: float | None) -> tuple[float, float]:
+        h = decay * (h or 0.0) + float(m or 0)
+        return h, h
+
+    return _folded(frames, [camera], order, motion, "history", T.DoubleType(), step)
+
+
+def motion_image(frames: DataFrame, threshold: float, duration: float, interval: float = 1.0, keys: tuple[str, ...] = ("camera", "pixel"), order: str = "frame_number", value: str = "value") -> DataFrame:
+    """frames (one row per frame and pixel) with mhi, 0 to 255: 255 where value differs from the frame before by more than threshold, else what was there less 255 * interval / duration, 0 at least.
+
+    The first frame has none. States are 32-bit floats, shown without their fractions.
     """
-    by = Window.partitionBy(camera).orderBy(order)
-    k = F.row_number().over(by) - 1
-    rows = frames.withColumn("_k", k).withColumn("_b", F.floor(F.col("_k") / 256)).withColumn("_j", F.col("_k") % 256)
-    run = Window.partitionBy(camera, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = F.sum(F.col(motion) * F.pow(F.lit(decay), -F.col("_j"))).over(run) * F.pow(F.lit(decay), F.col("_j"))
-    return rows.withColumn("history", inside).drop("_k", "_b", "_j")
+    fall = np.float32(interval / duration * 255)
+
+    def step(state: tuple | None, v: float) -> tuple[tuple, int]:
+        if state is None:
+            return (v, np.float32(0)), 0
+        h = np.float32(255) if abs(v - state[0]) > threshold else max(np.float32(0), state[1] - fall)
+        return (v, h), int(h)
+
+    return _folded(frames, list(keys), order, value, "mhi", T.IntegerType(), step)

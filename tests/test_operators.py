@@ -199,6 +199,27 @@ def test_motion_history_is_a_fold(spark):
         assert got[i] == pytest.approx(h)
 
 
+def test_motion_history_has_no_restart(spark):
+    m = {c: [float((i * k) % 5) for i in range(600)] for c, k in (("c", 1), ("d", 3))}
+    d = spark.createDataFrame([(c, i, x) for c in m for i, x in enumerate(m[c])], "camera string, frame_number int, motion double").repartition(7)
+    for decay in (0.9, 0.999, 0.01, 0.0):
+        got = {(r["camera"], r["frame_number"]): r["history"] for r in seqs.motion_history(d, decay).collect()}
+        assert len(got) == 1200
+        for c in m:
+            h = 0.0
+            for i, x in enumerate(m[c]):
+                h = decay * h + x
+                assert got[c, i] == pytest.approx(h)
+
+
+def test_motion_image(spark):
+    values = [0, 0, 100] + [100] * 7 + [0] + [0] * 300 + [90, 90]
+    d = spark.createDataFrame([("c", p, i, v if p else 0) for p in (0, 1) for i, v in enumerate(values)], "camera string, pixel int, frame_number int, value int").repartition(3)
+    got = {(r["pixel"], r["frame_number"]): r["mhi"] for r in seqs.motion_image(d, 25, 5.0).collect()}
+    assert [got[1, i] for i in range(12)] == [0, 0, 255, 204, 153, 102, 51, 0, 0, 0, 255, 204]
+    assert [got[1, i] for i in (310, 311, 312)] == [0, 255, 204] and {got[0, i] for i in range(len(values))} == {0}
+
+
 def test_categories(spark):
     d = spark.createDataFrame([("1",), ("9",)], "category string")
     assert [r[0] for r in categories.remapped(d, {"1": "a"}, {}, {"4": "a"}).collect()] == ["4", "5"]
