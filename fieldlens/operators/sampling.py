@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import random
+from collections.abc import Callable, Iterable, Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldlens.operators.running import ranked
@@ -69,23 +74,87 @@ def sorted_locations(sizes: DataFrame, prioritized: list[str] | None = None) ->
     return sizes.orderBy(first.desc(), "n", "location")
 
 
-def split_search(counts: DataFrame, seeds: int, share: float, most_error: float | None = None) -> DataFrame:
+def _numbered(counts: DataFrame) -> tuple[DataFrame, int]:
+    """location, _p for the locations of counts in their order, and how many these are."""
+    places = counts.select("location").distinct().withColumn("_p", F.row_number().over(Window.orderBy("location")) - 1)
+    return places, places.count()
+
+
+def _draws(spark: SparkSession, seeds: int, schema: str, draw: Callable[[int], Iterable[tuple]]) -> DataFrame:
+    """Rows of draw(seed) for each seed from 0, as seed and the columns of the schema."""
+    schema = f"seed long, {schema}"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(seed, *row) for seed in batch["id"].tolist() for row in draw(seed)]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+
+    return spark.range(0, seeds).repartition(min(seeds, 16), "id").mapInPandas(run, schema)
+
+
+def split_search(counts: DataFrame, seeds: int = 10_000, share: float = 0.15, most_errors: dict[str, float] | None = None, weights: dict[str, float] | None = None, most_error: float | None = 0.1, complete: bool = True) -> DataFrame:
     """seed, error, location of the validation locations of the best of many random splits.
 
-    counts: location, category, n (of locations, so of moderate size). For each
-    seed the locations with the least hashes form the validation set; the error is
-    the mean over categories of the distance of their share to the wanted one.
+    counts: location, category, n > 0 (of locations, so of moderate size). Each seed
+    draws int(share * locations) of the sorted locations, as random.sample does. The
+    error is the mean over categories of the weighted distance of their share to
+    the wanted one; of equal ones the first seed's is taken. A split whose
+    distance exceeds a category's limit (most_errors, else most_error; None:
+    no limit) is out, and so is, if complete, one in which a category has no
+    validation or no training rows. It is an error if no split is left.
     """
-    each = counts.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
-    share_of = F.pmod(F.xxhash64("location", "seed"), F.lit(1_000_003)) / 1_000_003.0
-    picked = each.withColumn("val", share_of < share)
-    per = picked.groupBy("seed", "category").agg((F.sum(F.when(F.col("val"), F.col("n")).otherwise(0)) / F.sum("n")).alias("f"))
-    err = per.groupBy("seed").agg(F.avg(F.abs(F.col("f") - share)).alias("error"), F.max(F.abs(F.col("f") - share)).alias("worst"))
-    if most_error is not None:
-        err = err.filter(F.col("worst") <= most_error)
+    from fieldlens.operators.categories import lookup
+
+    places, n = _numbered(counts)
+    take = int(share * n)
+    drawn = _draws(counts.sparkSession, seeds, "_p int", lambda seed: [(p,) for p in random.Random(seed).sample(range(n), take)]).join(F.broadcast(places), "_p").drop("_p")
+    total = counts.groupBy("category").agg(F.sum("n").alias("_n"))
+    val = drawn.join(counts.select("location", "category", "n"), "location").groupBy("seed", "category").agg(F.sum("n").alias("_v"))
+    all_of = counts.sparkSession.range(0, seeds).withColumnRenamed("id", "seed").crossJoin(F.broadcast(total))
+    f = F.coalesce("_v", F.lit(0)) / F.col("_n")
+    per = all_of.join(val, ["seed", "category"], "left").withColumn("_f", f).withColumn("_e", F.abs(F.col("_f") - share))
+
+    def of_category(values: dict[str, float] | None, default: float | None) -> Column:
+        other = F.lit(default).cast("double")
+        return F.coalesce(F.try_element_at(lookup({k: str(v) for k, v in values.items()}), F.col("category").cast("string")).cast("double"), other) if values else other
+
+    bad = F.coalesce(F.col("_e") > of_category(most_errors, most_error), F.lit(False))
+    if complete:
+        bad = bad | F.col("_f").isin(0.0, 1.0)
+    err = per.groupBy("seed").agg(F.avg(F.col("_e") * of_category(weights, 1.0)).alias("error"), F.bool_or(bad).alias("_bad")).filter("not _bad")
     best = err.agg(F.min(F.struct("error", "seed")).alias("b"))
-    at = counts.select("location").distinct().join(F.broadcast(best.select("b.seed", "b.error")))
-    return at.filter(F.pmod(F.xxhash64("location", "seed"), F.lit(1_000_003)) / 1_000_003.0 < share).select("seed", "error", "location")
+    best = best.select(F.when(F.col("b").isNull(), F.raise_error(F.lit("no split meets all limits"))).otherwise(F.col("b")).alias("b"))
+    return drawn.join(F.broadcast(best.select("b.seed", "b.error")), "seed").select("seed", "error", "location")
+
+
+def split_random(counts: DataFrame, val: float, test: float = 0.0, seeds: int = 10_000) -> DataFrame:
+    """seed, score, location, split of the best of many random splits to train, val and, with a share for it, test.
+
+    counts: label, location, n > 0. Each seed permutes the locations and moves the number for train,
+    and for val if there is a test set, by up to 3% of all locations. The score is the sum over splits and
+    labels of twice the squared distance of the images' share to the wanted one
+    and that of the locations' share; of equal scores the first seed's is taken.
+    """
+    places, n = _numbered(counts)
+    train = 1.0 - val - test
+    names = ["train", "val", "test"] if test > 0 else ["train", "val"]
+
+    def draw(seed: int) -> list[tuple]:
+        rnd = np.random.default_rng(seed)
+        a = int(n * (train + rnd.uniform(-0.03, 0.03)))
+        b = a + int(n * (val + rnd.uniform(-0.03, 0.03))) if test > 0 else n
+        return [(p, "train" if k < a else "val" if k < b else "test") for k, p in enumerate(rnd.permutation(n).tolist())]
+
+    drawn = _draws(counts.sparkSession, seeds, "_p int, split string", draw).join(F.broadcast(places), "_p").drop("_p")
+    label = counts.select("label", "location", "n")
+    total = label.groupBy("label").agg(F.sum("n").alias("_n"), F.count(F.lit(1)).alias("_k"))
+    have = drawn.join(label, "location").groupBy("seed", "split", "label").agg(F.sum("n").alias("_sn"), F.count(F.lit(1)).alias("_sk"))
+    wanted = counts.sparkSession.createDataFrame([(s, {"train": train, "val": val, "test": test}[s]) for s in names], "split string, _t double")
+    each = counts.sparkSession.range(0, seeds).withColumnRenamed("id", "seed").crossJoin(F.broadcast(wanted)).crossJoin(F.broadcast(total))
+    rows = each.join(have, ["seed", "split", "label"], "left")
+    images, locs = F.coalesce("_sn", F.lit(0)) / F.col("_n") - F.col("_t"), F.coalesce("_sk", F.lit(0)) / F.col("_k") - F.col("_t")
+    best = rows.groupBy("seed").agg(F.sum(2 * images * images + locs * locs).alias("score")).agg(F.min(F.struct("score", "seed")).alias("b"))
+    return drawn.join(F.broadcast(best.select("b.seed", "b.score")), "seed").select("seed", "score", "location", "split")
 
 
 def greedy_split(counts: DataFrame, test: float, val: float) -> list[tuple[str, str]]:

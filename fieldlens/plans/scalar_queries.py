@@ -198,8 +198,8 @@ def table_differences(spark, sf):
 
 @query("split_locations")
 def split_locations(spark, sf):
-    c = Tables(spark, sf)["fx_images"].groupBy((F.col("location") % 40).alias("location"), (F.col("image_id") % 3).alias("category")).agg(F.count(F.lit(1)).alias("n"))
-    return sampling.split_search(c, 200, 0.15)
+    c = Tables(spark, sf)["fx_images"].groupBy("location", (F.col("image_id") % 3).alias("category")).agg(F.count(F.lit(1)).alias("n"))
+    return sampling.split_search(c)
 
 
 @query("roll_up_scores", "WITH s AS (SELECT c_custkey AS crop_id, 'a;b;c;d;e' AS taxonomy, 0.4 AS score FROM customer UNION ALL SELECT c_custkey, 'a;b;c;d;f', CASE WHEN c_custkey % 2 = 0 THEN 0.35 ELSE 0.1 END FROM customer UNION ALL SELECT c_custkey, 'a;b;x;y;z', 0.2 FROM customer) SELECT crop_id, CASE WHEN crop_id % 2 = 0 THEN 'a;b;c;d' ELSE 'a;b' END AS taxon, round(CASE WHEN crop_id % 2 = 0 THEN CAST(0.75 AS DOUBLE) ELSE 0.7 END, 9) AS score FROM (SELECT DISTINCT crop_id FROM s)")

@@ -251,6 +251,69 @@ def test_crops_and_sampling(spark):
     assert sorted(s.values()) == ["test"] * 2 + ["train"] * 6 + ["val"] * 2
 
 
+def best_split(counts, seeds, share, limits, weights, limit=0.1):
+    import random
+
+    places, kinds = sorted({r[0] for r in counts}), sorted({r[1] for r in counts})
+    total = {k: sum(n for _, c, n in counts if c == k) for k in kinds}
+    found = []
+    for seed in range(seeds):
+        val = random.Random(seed).sample(places, int(share * len(places)))
+        f = {k: sum(n for p, c, n in counts if c == k and p in val) / total[k] for k in kinds}
+        e = {k: abs(f[k] - share) for k in kinds}
+        if all(0 < f[k] < 1 and e[k] <= limits.get(k, limit) for k in kinds):
+            found.append((sum(e[k] * weights.get(k, 1.0) for k in kinds) / len(kinds), seed, sorted(val)))
+    return min(found, default=None)
+
+
+def test_split_search(spark):
+    import random
+
+    rnd = random.Random(1)
+    counts = [(f"l{i:02d}", k, rnd.randrange(1, 30)) for i in range(40) for k in ("deer", "fox") if rnd.random() < 0.8]
+    counts += [("l03", "lynx", 5), ("l17", "lynx", 20), ("l30", "lynx", 9), ("l31", "lynx", 9)]  # skewed: often only in one part
+    d = spark.createDataFrame(counts, "location string, category string, n int").repartition(5)
+    for limits, weights in (({"lynx": 0.9}, {}), ({"lynx": 0.3}, {"lynx": 0.1, "fox": 3.0})):
+        error, seed, val = best_split(counts, 300, 0.15, limits, weights)
+        got = sampling.split_search(d, 300, 0.15, limits, weights).collect()
+        assert sorted(r["location"] for r in got) == val and {r["seed"] for r in got} == {seed} and got[0]["error"] == pytest.approx(error)
+    with pytest.raises(Exception, match="no split"):
+        sampling.split_search(d.filter("category <> 'lynx' or location = 'l03'"), 50, most_error=None).collect()
+
+
+def test_split_locations_of_all_places(spark):
+    from fieldlens.plans.catalog import QUERIES
+    from fieldlens.plans.fixtures import Tables
+
+    n = Tables(spark, "/root/testdata/sf0.001")["fx_images"].select("location").distinct().count()
+    assert QUERIES["split_locations"](spark, "/root/testdata/sf0.001").select("location").distinct().count() == int(0.15 * n)
+
+
+def test_split_random(spark):
+    import numpy as np
+
+    counts = [(k, f"l{i:02d}", 1 + (i * j) % 7) for i in range(30) for j, k in enumerate(("deer", "fox", "lynx")) if i % (j + 1) == 0]
+    d = spark.createDataFrame(counts, "label string, location string, n int").repartition(4)
+    for val, test in ((0.2, 0.2), (0.2, 0.0)):
+        want = {"train": 1 - val - test, "val": val} | ({"test": test} if test else {})
+        best = None
+        for seed in range(60):
+            rnd = np.random.default_rng(seed)
+            a = int(30 * (want["train"] + rnd.uniform(-0.03, 0.03)))
+            b = a + int(30 * (val + rnd.uniform(-0.03, 0.03))) if test else 30
+            order = [f"l{i:02d}" for i in rnd.permutation(30)]
+            split = {"train": order[:a], "val": order[a:b], "test": order[b:]}
+            score = 0.0
+            for s, t in want.items():
+                for k in ("deer", "fox", "lynx"):
+                    of = [(p, n) for c, p, n in counts if c == k]
+                    score += 2 * (sum(n for p, n in of if p in split[s]) / sum(n for _, n in of) - t) ** 2 + (sum(p in split[s] for p, _ in of) / len(of) - t) ** 2
+            if best is None or score < best[0] - 1e-12:
+                best = (score, seed, {p: s for s in want for p in split[s]})
+        got = sampling.split_random(d, val, test, 60).collect()
+        assert {r["location"]: r["split"] for r in got} == best[2] and got[0]["score"] == pytest.approx(best[0])
+
+
 def test_formats(spark):
     rows = spark.createDataFrame([(0, "a.jpg", 1, 0.9, 0.0, 0.0, 0.5, 0.5, "deer", 0.8), (1, "a.jpg", 1, 0.8, 0.0, 0.0, 0.5, 0.5, "fox", 0.7)], "row_no int, file string, category int, detection_conf double, bbox1 double, bbox2 double, bbox3 double, bbox4 double, class string, classification_conf double")
     r = formats.from_rows(rows).first()
