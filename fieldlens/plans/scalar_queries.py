@@ -49,6 +49,12 @@ def crop_names(spark, sf):
     return _paths(spark, sf).filter("image_id % 6 in (0, 4)").select("image_id", paths.crop_name(F.col("p"), F.col("image_id") % 12).alias("crop"))
 
 
+@query("crop_names_all")
+def crop_names_all(spark, sf):
+    """crop_names over all forms of paths; its SQL keeps two of six."""
+    return _paths(spark, sf).select("image_id", "p", paths.crop_name(F.col("p"), F.col("image_id") % 12).alias("crop"))
+
+
 @query("string_forms", """SELECT c_custkey AS id, regexp_replace(regexp_replace(lower(c_name), '[^a-z0-9_\\s-]', '', 'g'), '[-\\s]+', '-', 'g') AS slug,
  CASE c_custkey % 4 WHEN 0 THEN CAST(c_custkey AS DOUBLE) * 1024 WHEN 1 THEN c_custkey * 1048576.0 WHEN 2 THEN CAST(c_custkey AS DOUBLE) ELSE 0.0 END AS bytes,
  c_custkey % 3 = 0 AS flag, c_custkey % 5 = 0 AS blank FROM customer""")
@@ -111,6 +117,15 @@ def taxonomy_common_ancestor(spark, sf):
     return taxonomy.lowest_common(taxonomy.ancestors(t["fx_taxonomy"]), groups)
 
 
+@query("taxonomy_common_ancestor_all")
+def taxonomy_common_ancestor_all(spark, sf):
+    """Lowest common nodes of all customers' nations, by segment and region; the SQL above keeps half of one region."""
+    t = Tables(spark, sf)
+    named = t["customer"].join(t["nation"], F.col("c_nationkey") == F.col("n_nationkey"))
+    groups = named.select(F.concat_ws("/", "c_mktsegment", "n_regionkey").alias("group"), F.col("c_nationkey").cast("long").alias("node_id"))
+    return taxonomy.lowest_common(taxonomy.ancestors(t["fx_taxonomy"]), groups)
+
+
 @query("geofence_decisions", """WITH s AS (SELECT s_suppkey AS id, CASE s_nationkey % 4 WHEN 0 THEN 'USA' WHEN 1 THEN 'CAN' WHEN 2 THEN 'MEX' ELSE 'BRA' END AS country, CASE s_suppkey % 3 WHEN 0 THEN 'CA' WHEN 1 THEN 'TX' END AS state, s_suppkey % 6 AS rule FROM supplier),
  r AS (SELECT *, CASE rule
  WHEN 0 THEN 'allow_by_default'
@@ -147,6 +162,14 @@ def tile_grid(spark, sf):
     return t.select("image_id", F.col("tile_x").cast("long").alias("tile_x"), F.col("tile_y").cast("long").alias("tile_y"))
 
 
+@query("tile_grid_all")
+def tile_grid_all(spark, sf):
+    """tile_grid over all images; its SQL keeps 1 in 11."""
+    k = F.col("image_id")
+    t = crops.tile_table(Tables(spark, sf)["fx_images"].select("image_id", (600 + k % 900).cast("int").alias("width"), (400 + k % 700).cast("int").alias("height")), 640)
+    return t.select("image_id", F.col("tile_x").cast("long").alias("tile_x"), F.col("tile_y").cast("long").alias("tile_y"))
+
+
 @query("tile_results", fx("fx_detections") + " SELECT image_id, det_ord, round((100 + x * 640) / 1500, 9) AS x, round((50 + y * 640) / 1000, 9) AS y, round(w * 640 / 1500, 9) AS w, round(h * 640 / 1000, 9) AS h FROM fx_detections")
 def tile_results(spark, sf):
     d = Tables(spark, sf)["fx_detections"].withColumn("tile_x", F.lit(100)).withColumn("tile_y", F.lit(50)).withColumn("category", F.col("det_ord"))
