@@ -11,9 +11,9 @@ are compared word for word, and what they cover is marked.
 Items of fewer than 10 words are one window of all their words; for each of
 their lengths (9 at most) the documents' grams of that length are looked up.
 
-Fingerprints for the scan are of Unicode lower case, which maps all texts that
-are equal under A-Z lower-casing to equal texts and keeps word borders; the
-comparison that follows lower-cases A-Z alone.
+The scan's fingerprints are of the same words that are compared afterwards, so
+that it can't miss an equal window. (Unicode lower case would not do: that of a
+capital sigma depends on what follows it, across gaps.)
 
 Defined cases: a null or empty text has no words and is clean; null items and
 items without words have no windows; items with equal windows are all counted;
@@ -47,10 +47,6 @@ def exact_words(text: Column) -> Column:
     return split_words(F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, UPPER, LOWER)).otherwise(F.lower(text)), GAP)
 
 
-def scan_words(text: Column) -> Column:
-    return split_words(F.lower(text), GAP)
-
-
 def with_fingerprints(df: DataFrame, words: str) -> DataFrame:
     """df with fp, an array with the fingerprint of the window at each place of the words' array.
 
@@ -90,24 +86,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     windows = long_items.withColumn("win", gram_texts("words", SPAN)).select("item_id", F.lit(SPAN).alias("n"), F.explode_outer("win").alias("win")).filter("win is not null")
     windows = windows.unionByName(items.filter(F.size("words") < SPAN).select("item_id", F.size("words").alias("n"), F.array_join("words", " ").alias("win")))
     windows = small(materialize(windows.groupBy("n", "win").agg(F.collect_set("item_id").alias("items")), "windows"))
-    # the scan's fingerprints of items are of lower() too
-    scanned = benchmark.select(scan_words(F.col(item_text)).alias("words"))
-    prints = small(materialize(with_fingerprints(scanned, "words").select(F.explode_outer("fp").alias("fp")).distinct(), "fingerprints"))
+    prints = small(materialize(with_fingerprints(items.select("words"), "words").select(F.explode_outer("fp").alias("fp")).distinct(), "fingerprints"))
     short = sorted(r["n"] for r in items.filter(F.size("words") < SPAN).select(F.size("words").alias("n")).distinct().collect())  # 9 numbers at most
 
-    words = docs.select("doc_id", scan_words(F.col("text")).alias("words"))
+    words = docs.select("doc_id", exact_words(F.col("text")).alias("words"))
     hits = with_fingerprints(words, "words").select("doc_id", F.explode_outer(F.array_distinct("fp")).alias("fp")).join(prints, "fp", "left_semi").select("doc_id")
     for n in short:
-        grams = items.filter(F.size("words") == n).select(F.lower(F.array_join("words", " ")).alias("win")).distinct()
+        grams = items.filter(F.size("words") == n).select(F.array_join("words", " ").alias("win")).distinct()
         hits = hits.unionByName(words.select("doc_id", F.explode_outer(F.array_distinct(gram_texts("words", n))).alias("win")).join(small(materialize(grams, "grams")), "win", "left_semi").select("doc_id"))
     hit_docs = small(materialize(hits.distinct(), "hit-docs"), 2_000_000)
 
     found = docs.filter("text is not null").join(hit_docs, "doc_id", "left_semi")
-    low = found.select("doc_id", scan_words(F.col("text")).alias("low"))
     # only ids go through the explodes: a row with all words for each of its places would grow with the square of a text
-    at = with_fingerprints(low, "low").select("doc_id", F.posexplode_outer("fp").alias("i", "fp")).join(prints, "fp", "left_semi")
-    places = at.groupBy("doc_id").agg(F.collect_set("i").alias("places"))
     exact = found.select("doc_id", exact_words(F.col("text")).alias("words"))
+    at = with_fingerprints(exact, "words").select("doc_id", F.posexplode_outer("fp").alias("i", "fp")).join(prints, "fp", "left_semi")
+    places = at.groupBy("doc_id").agg(F.collect_set("i").alias("places"))
     window = F.transform("places", lambda i: F.struct(i.alias("i"), F.array_join(F.slice("words", i + 1, SPAN), " ").alias("win")))
     spans = exact.join(places, "doc_id").select("doc_id", F.explode_outer(window).alias("w")).select("doc_id", "w.i", F.lit(SPAN).alias("n"), "w.win")
     for n in short:

@@ -213,6 +213,15 @@ def test_contamination(spark, docs, short):
         assert got[i] == (len(w), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit)), i
 
 
+def test_contamination_of_greek_capitals(spark):
+    w = ["ΟΔΟΣ", "ΝΟΜΟΣ", "ΤΟΠΟΣ", "ΛΟΓΟΣ", "ΧΡΟΝΟΣ", "ΚΟΣΜΟΣ", "ΔΡΟΜΟΣ", "ΦΙΛΟΣ", "ΗΛΙΟΣ", "ΑΝΕΜΟΣ", "ΒΙΟΣ", "ΤΡΟΠΟΣ"]
+    for item, doc in ((".".join(w), " ".join(w)), (" ".join(w), ".".join(w)), (" ".join(w[:3]), "x " + ".".join(w[:3]) + ".Α")):
+        bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+        docs = spark.createDataFrame([(1, doc), (2, doc.replace("ΟΔΟΣ", "ΟΔΟΙ").replace("ΤΟΠΟΣ", "ΤΟΠΟΙ"))], "doc_id long, text string")
+        got = {r["doc_id"]: (r["n_hit"], r["contaminated"]) for r in decontamination.contamination(docs, bench).collect()}
+        assert got[1] == (len(item.replace(".", " ").split()), True) and got[2] == (0, False)
+
+
 @pytest.mark.parametrize("limits", [{}, {"most_contexts": 2, "shard_units": 3000}])
 def test_suffix_dedup(spark, docs, limits):
     n, seen, want = 400, Counter(), {}
