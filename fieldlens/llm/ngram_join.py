@@ -1,12 +1,13 @@
-"""N-gram Jaccard join: a MinHash LSH forest, then exact verification.
+"""N-gram Jaccard join: MinHash bands, then exact verification.
 
 1. Texts with the same words are one class; its id is the least doc_id.
 2. A class has the set of its 5-word shingles and a MinHash of TREES x depth
-   values. Each tree of the forest is a trie of labels of `depth` values; two
-   classes that share a prefix of some tree's label are candidates.
-3. The prefix is shortened from the full depth until the chance that a pair at
-   the similarity limit shares one in some tree reaches the target recall.
-   Labels are grouped by that prefix; a bucket's pairs are made block against
+   values, in TREES bands (trees) of depth values; two classes with an equal band are
+   candidates. This is fixed banding, not an LSH forest: no labels of full
+   length, tries or shortening of single matches are made.
+3. depth is the greatest, from DEPTH down, with which the chance that a pair at
+   the similarity limit shares a band reaches the target recall.
+   Classes are grouped by bands; a bucket's pairs are made block against
    block, in rows of bounded size, and only in the first tree that the pair
    shares, so that no pair is made twice.
 4. Each candidate pair is verified on its two whole shingle sets.
