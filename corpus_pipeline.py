@@ -3,12 +3,17 @@
 Each stage takes (spark, docs, sf_dir), works on all rows that the one before
 kept, and returns the columns of documents; the last returns the packing. run()
 writes each result as Parquet in the shared folder and reads it for the next.
+Rows without a doc_id are judged by their text like others, and come after them
+where one of a group stays.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fieldlens.llm.decontamination import contamination
 from fieldlens.llm.exact_dedup import exact_dedup
@@ -24,6 +29,19 @@ def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     return docs.join(small(materialize(dropped.select("doc_id").filter("doc_id is not null").distinct(), "dropped"), 2_000_000), "doc_id", "left_anti").select(*docs.columns)
 
 
+def judged(docs: DataFrame, drop: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """docs without what drop(docs) names by doc_id; for this, rows without a doc_id get one above all others."""
+    none = docs.filter("doc_id is null")
+    if none.isEmpty():
+        return without(docs, drop(docs))
+    first = (docs.agg(F.max("doc_id").cast("long")).first()[0] or 0) + 1
+    # written, as these ids may differ when they are made again
+    none = materialize(none.withColumns({"doc_id": F.lit(first) + F.monotonically_increasing_id(), "_none": F.lit(True)}), "without-id")
+    keyed = docs.filter("doc_id is not null").withColumns({"doc_id": F.col("doc_id").cast("long"), "_none": F.lit(False)}).unionByName(none)
+    kept = without(keyed, drop(keyed.drop("_none")))
+    return kept.withColumn("doc_id", F.when(~F.col("_none"), F.col("doc_id")).cast(docs.schema["doc_id"].dataType)).select(*docs.columns)
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that language ID accepts; it learns from a bounded sample of those with a language."""
     ship(spark)
@@ -32,18 +50,18 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    return without(docs, exact_dedup(docs).filter("not kept"))
+    return judged(docs, lambda d: exact_dedup(d).filter("not kept"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group."""
     ship(spark)
-    return without(docs, ngram_join(docs).filter("doc_id <> class_id"))
+    return judged(docs, lambda d: ngram_join(d).filter("doc_id <> class_id"))
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no window with a benchmark item."""
-    return without(docs, contamination(docs, table(spark, sf_dir, "benchmark")).filter("contaminated"))
+    return judged(docs, lambda d: contamination(d, table(spark, sf_dir, "benchmark")).filter("contaminated"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,8 +18,9 @@ capital sigma depends on what follows it, across gaps.)
 Defined cases: a null or empty text has no words and is clean; null items and
 items without words have no windows; items with equal windows are all counted;
 a null item_id covers words but isn't counted; rows that repeat a doc_id are
-all returned and share the hits of that doc_id; without benchmark rows all are
-clean; other columns are ignored.
+all returned and share the hits of that doc_id; rows without a doc_id are
+returned as clean, as in the SQL, so callers that have such rows give them ids; without
+benchmark rows all are clean; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -11,6 +11,7 @@ which locates every occurrence of every phrase; the first of each stays.
 Defined cases: a null text has no words; texts of fewer than 20 words lose
 nothing; words are runs of other characters than ASCII white space, compared
 unchanged; repeated rows of a doc_id are each returned but count as one text;
+rows without a doc_id lose nothing and, as in the SQL, do not make others repeat;
 an empty table gives an empty result.
 """
 

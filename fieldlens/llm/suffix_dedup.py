@@ -13,7 +13,8 @@ statistic reaches 400 start a marked string.
 
 Defined cases: a null text is empty; texts of fewer than 400 bytes lose
 nothing; overlapping matches count, also of a text with itself; repeated rows
-of a doc_id are each returned but count as one text (a doc_id is a key); an
+of a doc_id are each returned but count as one text (a doc_id is a key); rows
+without a doc_id lose nothing and do not make others repeat; an
 empty table gives an empty result. kept_sha256 is of the bytes that stay, which
 may split a character.
 """

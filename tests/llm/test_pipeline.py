@@ -106,3 +106,27 @@ def test_edges(spark):
             rows = cp.materialize(stage(spark, rows, SF), "edge")
         assert set(rows.columns) >= {"doc_id", "piece", "sequence_id", "offset"}
     assert cp.exact_stage(spark, docs, SF).agg(F.sort_array(F.collect_list("doc_id"))).first()[0] == [1, 4, 5]
+
+
+def test_rows_without_an_id_are_judged(spark):
+    item = max((r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()), key=lambda t: len((t or "").split()))
+    words = [f"word{k}" for k in range(120)]
+    near = " ".join([*words[:60], "other", *words[61:]])
+    rows = [(1, " ".join(words)), (None, " ".join(words)), (None, near), (2, "some text of its own"), (None, "twice the same"), (None, "twice the same"), (None, "x " + item), (None, "alone"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+
+    def left(stage):
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and out.schema["doc_id"].dataType == docs.schema["doc_id"].dataType
+        return sorted(map(tuple, out.collect()), key=repr)
+
+    def less(*gone):
+        out = list(rows)
+        for g in gone:
+            out.remove(g)
+        return sorted(out, key=repr)
+
+    copy, twice = (None, " ".join(words)), (None, "twice the same")
+    assert left(cp.exact_stage) == less(copy, twice)
+    assert left(cp.near_stage) == less(copy, (None, near), twice)
+    assert left(cp.benchmark_stage) == less((None, "x " + item))
