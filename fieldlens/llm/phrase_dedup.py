@@ -1,12 +1,17 @@
 """Substring dedup by repeated-phrase automata.
 
 A word goes if a window of 20 words that covers it also starts earlier: in a
-smaller doc_id, or earlier in the same document. repeats.py finds the contexts
-in which anchors recur. Of equal contexts all but the first go whole. Where an
-anchor has several different contexts, these meet in a shard: windows that
-recur there are confirmed phrases, an Aho-Corasick automaton of the shard's
-phrases is compiled, and all contexts of the shard are streamed through it,
-which locates every occurrence of every phrase; the first of each stays.
+smaller doc_id, or earlier in the same document. repeats.py cuts the texts to what
+may recur and deals it to shards by what has to match, so that every document is
+streamed, but only to the shards that hold phrases with its own anchors:
+
+* A shard of contexts: windows whose hash recurs there are its phrases; an
+  Aho-Corasick automaton of them locates every occurrence in all contexts of the
+  shard, and all but the first of a phrase are marked.
+* A shard of spans: the passages (runs of windows that recur in the same two
+  documents) are compiled to an automaton, and the other documents' texts are
+  streamed through it. Where it finds the passage, the equal contexts but the
+  first are marked.
 
 Defined cases: a null text has no words; texts of fewer than 20 words lose
 nothing; words are runs of other characters than ASCII white space, compared
@@ -18,7 +23,6 @@ an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,9 +32,9 @@ from pyspark.sql import functions as F
 
 from fieldlens.llm import kernels
 from fieldlens.llm.registry import query, table
-from fieldlens.llm.repeats import Windows, by_document, counted_windows, covered, recurring, sharded, with_content
+from fieldlens.llm.repeats import KIND, LEFT, MARKS, RIGHT, Windows, by_document, covered, longs, range_hashes, recurring, unlike
 from fieldlens.llm.suffix_dedup import marked_runs
-from fieldlens.llm.support import groups, materialize, text_column
+from fieldlens.llm.support import groups, text_column
 
 WORDS = 20
 WHITE = b" \t\n\x0b\x0c\r"
@@ -51,40 +55,77 @@ def cutter(text: bytes):
     return lambda first, n: b" ".join(parts[first : first + n])
 
 
-def shard_marks(shards: DataFrame, words: int) -> DataFrame:
-    """doc_id, first, n of the windows of contexts that start earlier in another context of their shard."""
+def recurring_phrases(texts: list[bytes], words: int) -> list[bytes]:
+    """The runs of so many words that occur more than once in the texts, by their hashes (others may be among them)."""
+    offsets = np.append(0, np.cumsum([len(x) for x in texts]))
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    first, end, border = kernels.words(data, offsets)
+    if len(first) < words:
+        return []
+    at = np.arange(len(first) - words + 1)
+    inside = np.searchsorted(border, at, "right") == np.searchsorted(border, at + words - 1, "right")
+    at = at[inside]
+    hashes = range_hashes(kernels.sums(kernels.word_hashes(data, first, end)), at, at + words)
+    _, lead, times = np.unique(hashes, return_index=True, return_counts=True)
+    raw = data.tobytes()
+    return [raw[first[i] : end[i + words - 1]] for i in at[lead[times > 1]]]
+
+
+def shard_marks(shards: DataFrame, how: Windows) -> DataFrame:
+    """What the automata find: windows of kinds that start earlier in another kind of the shard, and spans whose passage is in both their texts."""
+    words = how.window
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def located(phrases: list[bytes], texts: list[str]) -> Iterator[tuple[int, int, int]]:
+        """(text, last character, phrase) of every occurrence of every phrase, as whole words."""
         import ahocorasick
 
+        automaton = ahocorasick.Automaton()
+        for k, x in enumerate(phrases):
+            automaton.add_word(f" {x.decode()} ", k)
+        if not len(automaton):
+            return
+        automaton.make_automaton()
+        for c, x in enumerate(texts):
+            for end, k in automaton.iter(f" {x} "):
+                yield c, end, k
+
+    def kinds(t: pa.Table) -> list[tuple]:
+        doc, first = longs(t, "doc_id", "first")
+        raw = t.column("content").to_pylist()
+        texts = [x.decode() for x in raw]
+        ends = [{e: i for i, e in enumerate(np.cumsum([len(q) + 1 for q in x.split(" ")]).tolist())} for x in texts]
+        hits = [(k, c, ends[c][end] - words + 1) for c, end, k in located(recurring_phrases(raw, words), texts)]
+        if not hits:
+            return []
+        k, c, i = np.array(hits, np.int64).T
+        place = first[c] + i
+        order = np.lexsort((place, doc[c], k))
+        k, c, place = k[order], c[order], place[order]
+        lead = np.append(True, k[1:] != k[:-1])
+        head = np.flatnonzero(lead)[np.cumsum(lead) - 1]
+        later = (doc[c] != doc[c[head]]) | (place != place[head])
+        return [(KIND, d, p, 1, None, None, None) for d, p in zip(doc[c][later].tolist(), place[later].tolist(), strict=True)]
+
+    def spans(t: pa.Table) -> list[tuple]:
+        role, doc, first, n, d1, shift, island = longs(t, "role", "doc_id", "first", "n", "d1", "shift", "island")
+        raw = t.column("content").to_pylist()
+        passages = {x: k for k, x in enumerate(dict.fromkeys(raw[i] for i in np.flatnonzero(role == LEFT)))}
+        rights = np.flatnonzero(role == RIGHT)
+        found = {(k, int(rights[c])) for c, _, k in located(list(passages), [raw[i].decode() for i in rights])}
+        other = {(int(d1[i]), int(first[i]), int(n[i])): int(i) for i in rights}
+        out = []
+        for i in np.flatnonzero(role == LEFT):
+            if (passages[raw[i]], other.get((int(d1[i]), int(first[i] + shift[i]), int(n[i])))) in found:
+                out.append((LEFT, *(int(x[i]) for x in (doc, first, n, d1, shift, island))))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups(batches):
-            doc, first = t.column("doc_id").to_numpy(), t.column("first").to_numpy()
-            texts = [x.decode() for x in t.column("content").to_pylist()]
-            split = [x.split(" ") for x in texts]
-            seen: Counter[str] = Counter()
-            for p in split:
-                seen.update([" ".join(p[i : i + words]) for i in range(len(p) - words + 1)])
-            phrases = [x for x, c in seen.items() if c > 1]
-            if not phrases:
-                continue
-            automaton = ahocorasick.Automaton()
-            for k, x in enumerate(phrases):
-                automaton.add_word(f" {x} ", (k, len(x) + 2))
-            automaton.make_automaton()
-            hits: list[tuple[int, int, int]] = []  # phrase, context, word
-            for c, (x, p) in enumerate(zip(texts, split, strict=True)):
-                begins = dict(zip(np.cumsum([0, *(len(q) + 1 for q in p)]).tolist(), range(len(p)), strict=False))
-                hits += [(k, c, begins[end - n + 1]) for end, (k, n) in automaton.iter(f" {x} ")]
-            k, c, i = np.array(hits, np.int64).T
-            place = first[c] + i
-            order = np.lexsort((place, doc[c], k))
-            k, c, i, place = k[order], c[order], i[order], place[order]
-            lead = np.append(True, k[1:] != k[:-1])
-            head = np.flatnonzero(lead)[np.cumsum(lead) - 1]
-            later = (doc[c] != doc[c[head]]) | (place != place[head])
-            yield pa.RecordBatch.from_arrays([pa.array(doc[c][later]), pa.array(place[later]), pa.array(np.ones(int(later.sum()), np.int64))], names=["doc_id", "first", "n"])
-
-    return shards.mapInArrow(run, "doc_id long, first long, n long")
+            t = unlike(t)
+            out = kinds(t) if t.column("role")[0].as_py() == KIND else spans(t)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 7)], names=MARKS)
+
+    return shards.mapInArrow(run, ", ".join(f"{c} long" for c in MARKS))
 
 
 def phrase_dedup(docs: DataFrame, how: Windows | None = None, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
@@ -92,12 +133,8 @@ def phrase_dedup(docs: DataFrame, how: Windows | None = None, id_col: str = "doc
     how = how or windows()
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     once = docs.filter("doc_id is not null and text is not null")
-    found = recurring(once, how)
-    content = materialize(with_content(once, found.kinds, how, cutter), "content")
-    usual, many = sharded(content, how)
-    marks = found.whole.filter("not kept").select("doc_id", "first", "n").union(materialize(shard_marks(usual, how.window), "shard-marks"))
-    later = "d0 <> doc_id or f0 <> first"
-    marks = marks.union(counted_windows(many, how).filter(later).select("doc_id", "first", "n"))
+    single, equal = recurring(once, how, cutter, shard_marks)
+    marks = single.union(equal.filter("doc_id <> d0 or first <> f0").select("doc_id", "first", "n"))
     words = how.window
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,15 +1,15 @@
 """Suffix-array dedup on a run-length index.
 
 A byte goes if a 400-byte string that covers it also starts anywhere else.
-Candidates come from repeats.py: texts shrink to the contexts of anchors that
-occur in several different contexts. Each shard of these gets a run-length
-index: the Burrows-Wheeler transform of its contexts in runs, with the suffix
-positions at the runs' first and last rows as samples. Matching statistics
-(the longest match of the text at each place with any other place of the
-shard) are then streamed in text order: at the sampled places they are found
-by comparison, and between samples each is one less than the one before,
-because within a run the neighbouring suffix moves along. Places whose
-statistic reaches 400 start a marked string.
+repeats.py cuts the texts to contexts and spans that may recur and deals these to
+shards. Each shard gets a run-length index: the Burrows-Wheeler transform of its
+texts in runs, with the suffix positions at the runs' first and last rows as
+samples. Matching statistics (the longest match of the text at each place with
+any other place of the shard) are then streamed in text order: at the sampled
+places they are found by comparing bytes, and between samples each is one less
+than the one before, because within a run the neighbouring suffix moves along.
+Places whose statistic reaches 400 start a marked string. Nothing is marked that
+an index has not found; further copies of a context follow its first two.
 
 Defined cases: a null text is empty; texts of fewer than 400 bytes lose
 nothing; overlapping matches count, also of a text with itself; repeated rows
@@ -30,18 +30,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldlens.llm.registry import query, table
-from fieldlens.llm.repeats import Windows, by_document, counted_windows, covered, recurring, sharded, with_content
-from fieldlens.llm.support import groups, materialize, text_column
+from fieldlens.llm.repeats import KIND, LEFT, MARKS, Windows, by_document, covered, longs, recurring, unlike
+from fieldlens.llm.support import groups, text_column
 
 LENGTH = 400
 
 
 def byte_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return data.astype(np.uint64) + np.uint64(1), offsets
+    return data, offsets
 
 
 def windows(length: int = LENGTH, **limits: int) -> Windows:
-    return Windows(byte_units, length, max(1, length // 8), **limits)
+    return Windows(byte_units, length, max(1, length // 8), **{"cores": 3, **limits})
 
 
 def join_texts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -61,25 +61,21 @@ class RunLengthIndex:
 
     heads, lengths: the transform's runs. first, last: suffix positions at the
     first and last row of each run; before, after: those of the rows around it.
+    The first suffix has no byte before it, so its row is a run of its own.
     """
 
     def __init__(self, text: np.ndarray):
         self.text, n = text, len(text)
-        self.ranks: list[tuple[int, np.ndarray]] = []
         wide = np.append(text, np.zeros(8, np.uint8)).astype(np.uint64)
-        key = np.zeros(n, np.uint64)
+        self.words = np.zeros(n + 1, np.uint64)  # the 8 bytes from each place on
         for b in range(8):
-            key = (key << np.uint64(8)) | wide[b : b + n]
+            self.words[:n] = (self.words[:n] << np.uint64(8)) | wide[b : b + n]
         # a rank is the place of the first suffix with the same prefix; only suffixes that tie are sorted on
-        size, order, rank, place = 8, np.argsort(key), np.empty(n, np.int32), np.arange(n)
-        rank[order] = self._firsts(key[order])
-        while True:
-            self.ranks.append((size, rank))
-            alone = rank[order] == place
-            alone &= np.append(alone[1:], True)
-            tied = np.flatnonzero(~alone)
-            if not len(tied):
-                break
+        size, order, rank, place = 8, np.argsort(self.words[:n]), np.empty(n, np.int32), np.arange(n)
+        rank[order] = self._firsts(self.words[order])
+        alone = rank[order] == place
+        tied = np.flatnonzero(~(alone & np.append(alone[1:], True)))
+        while len(tied):
             sub = order[tied]  # by twice as many bytes
             after = np.zeros(len(sub), np.int64)
             inside = sub + size < n
@@ -87,10 +83,13 @@ class RunLengthIndex:
             key = rank[sub].astype(np.int64) * (n + 2) + after
             by = np.argsort(key)
             order[tied] = sub = sub[by]
-            rank = rank.copy()
-            rank[sub] = tied[self._firsts(key[by])]
+            first = tied[self._firsts(key[by])]
+            rank[sub] = first
+            alone = first == tied
+            # the row after a group of ties is alone or starts another group
+            tied = tied[~(alone & np.append(alone[1:], True))]
             size *= 2
-        bwt = text[order - 1]
+        bwt = np.where(order > 0, text[order - 1].astype(np.int16), np.int16(-1))
         edge = np.flatnonzero(np.append(True, bwt[1:] != bwt[:-1]))
         end = np.append(edge[1:], n) - 1
         self.heads, self.lengths = bwt[edge], np.diff(np.append(edge, n))
@@ -104,27 +103,24 @@ class RunLengthIndex:
         return np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Lengths of the common prefixes of suffixes; 0 where one is missing (-1)."""
-        n = len(self.text)
-        there = (a >= 0) & (b >= 0)
-        x, y = np.where(there, a, 0), np.where(there, b, 0)
-        out = np.zeros(len(a), np.int64)
-        for size, rank in reversed(self.ranks):
-            while True:  # the largest size may fit more than once
-                ok = there & (x < n) & (y < n)
-                ok[ok] = rank[x[ok]] == rank[y[ok]]
-                ok &= x != y
-                if not ok.any():
-                    break
-                out[ok] += size
-                x, y = np.where(ok, x + size, x), np.where(ok, y + size, y)
-        for _ in range(8):
-            ok = there & (x < n) & (y < n)
-            ok[ok] = self.text[x[ok]] == self.text[y[ok]]
-            there = ok
-            out[ok] += 1
-            x, y = np.where(ok, x + 1, x), np.where(ok, y + 1, y)
-        return out
+        """Lengths of the common prefixes of different suffixes; 0 where one is missing (-1)."""
+        n, out = len(self.text), np.zeros(len(a), np.int64)
+        at = np.flatnonzero((a >= 0) & (b >= 0))
+        x, y = a[at], b[at]
+        while len(at):
+            differ = self.words[x] ^ self.words[y]
+            same = differ == 0
+            rest = differ[~same]
+            bytes_same = np.zeros(len(rest), np.int64)
+            for k in range(1, 8):
+                bytes_same += (rest >> np.uint64(64 - 8 * k)) == 0
+            out[at[~same]] += bytes_same
+            out[at[same]] += 8
+            at, x, y = at[same], x[same] + 8, y[same] + 8
+            inside = (x < n) & (y < n)
+            at, x, y = at[inside], x[inside], y[inside]
+        longest = n - np.maximum(a, b)  # the bytes after the text's end are no match
+        return np.where((a >= 0) & (b >= 0), np.minimum(out, longest), 0)
 
     def matching_statistics(self) -> np.ndarray:
         """For each place the longest match with another place."""
@@ -133,9 +129,8 @@ class RunLengthIndex:
         for at, other in ((self.first, self.before), (self.last, self.after)):
             by = np.argsort(at)
             places, value = at[by], self.common(at[by], other[by])
-            k = np.searchsorted(places, np.arange(n), "right") - 1
-            k0 = np.maximum(k, 0)
-            best = np.maximum(best, np.where(k >= 0, value[k0] - (np.arange(n) - places[k0]), 0))
+            reach = np.repeat(places + value, np.diff(np.append(places, n)))  # place 0 is a sample
+            best = np.maximum(best, reach - np.arange(n))
         return best
 
 
@@ -146,23 +141,24 @@ def marked_runs(ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a, b - a
 
 
-def shard_marks(shards: DataFrame, length: int) -> DataFrame:
-    """doc_id, first, n of the windows of single contexts that recur in their shard."""
+def shard_marks(shards: DataFrame, how: Windows) -> DataFrame:
+    """What recurs in a shard by its run-length index: windows of single kinds, and spans of which all windows do."""
+    length = how.window
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups(batches):
-            texts = t.column("content").to_pylist()
-            copies, doc, first, n = (t.column(c).to_numpy() for c in ("copies", "doc_id", "first", "n"))
-            text, at = join_texts(texts)
-            best = RunLengthIndex(text).matching_statistics()
-            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            for i in np.flatnonzero(copies == 1):
-                a, m = marked_runs(best[at[i] : at[i] + n[i]] >= length)
-                out.append((np.full(len(a), doc[i]), first[i] + a, m))
-            cols = [np.concatenate([np.zeros(0, np.int64), *c]) for c in (zip(*out, strict=True) if out else [[]] * 3)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "first", "n"])
+            t = unlike(t)
+            role, mark, doc, first, n, d1, shift, island = longs(t, "role", "mark", "doc_id", "first", "n", "d1", "shift", "island")
+            text, at = join_texts(t.column("content").to_pylist())
+            best = RunLengthIndex(text).matching_statistics() >= length
+            out: list[tuple] = []
+            for i in np.flatnonzero(mark == 1):
+                a, m = marked_runs(best[at[i] : at[i] + n[i]])
+                out += [(KIND, doc[i], first[i] + x, y, None, None, None) for x, y in zip(a.tolist(), m.tolist(), strict=True)]
+            out += [(LEFT, doc[i], first[i], n[i], int(d1[i]), int(shift[i]), int(island[i])) for i in np.flatnonzero(role == LEFT) if best[at[i] : at[i] + n[i]].all()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 7)], names=MARKS)
 
-    return shards.mapInArrow(run, "doc_id long, first long, n long")
+    return shards.mapInArrow(run, ", ".join(f"{c} long" for c in MARKS))
 
 
 def suffix_dedup(docs: DataFrame, how: Windows | None = None, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
@@ -170,11 +166,8 @@ def suffix_dedup(docs: DataFrame, how: Windows | None = None, id_col: str = "doc
     how = how or windows()
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     once = docs.filter("doc_id is not null and text is not null")
-    found = recurring(once, how)
-    content = materialize(with_content(once, found.kinds, how, lambda text: lambda first, n: text[first : first + n]), "content")
-    usual, many = sharded(content, how)
-    marks = found.whole.select("doc_id", "first", "n").union(materialize(shard_marks(usual, how.window), "shard-marks"))
-    marks = marks.union(counted_windows(many, how).filter("copies = 1").select("doc_id", "first", "n"))
+    single, equal = recurring(once, how, lambda text: lambda first, n: text[first : first + n], shard_marks)
+    marks = single.union(equal.select("doc_id", "first", "n"))
     length = how.window
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

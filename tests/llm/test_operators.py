@@ -259,6 +259,28 @@ def test_run_length_index():
             assert best[p] == top
 
 
+def test_run_length_index_first_text():
+    """The first text's first suffix has no byte before it, and its match ends a run."""
+    rnd = random.Random(8)
+    shared = "".join(rnd.choice("abc") for _ in range(500)).encode()
+    for n in (2, 10, 300):
+        texts = [prose(i, 12).encode() for i in range(n)]
+        texts[0], texts[-1] = shared + texts[0], shared + b"x" + texts[-1]
+        text, at = suffix_dedup.join_texts(texts)
+        best = suffix_dedup.RunLengthIndex(text).matching_statistics()
+        assert best[at[0]] == best[at[-1]] == 500 + (texts[0][500:501] == b"x")
+        seen = Counter(text[k : k + 30].tobytes() for k in range(len(text) - 29))
+        assert ((best >= 30)[: len(text) - 29] == [seen[text[k : k + 30].tobytes()] > 1 for k in range(len(text) - 29)]).all()
+
+
+@pytest.mark.parametrize("limits", [{"segment": 700}, {"segment": 450, "most_contexts": 1, "span_windows": 64, "shard_units": 1}, {"cores": 1}, {"cores": 2, "most_contexts": 1}])
+def test_dedup_in_segments(spark, docs, limits):
+    """Texts that are hashed in several segments, spans that are cut, shards of one key: the same results."""
+    cores = limits.get("cores", 3)
+    assert sorted(suffix_dedup.suffix_dedup(docs, suffix_dedup.windows(400, **limits)).collect()) == sorted(suffix_dedup.suffix_dedup(docs).collect())
+    assert sorted(phrase_dedup.phrase_dedup(docs, phrase_dedup.windows(20, **{**limits, "segment": limits.get("segment", 50) // 10, "cores": cores})).collect()) == sorted(phrase_dedup.phrase_dedup(docs).collect())
+
+
 def test_ngram_join(spark, docs):
     sets, classes = {}, {}
     for i, t in corpus():
@@ -347,6 +369,8 @@ def test_repeated_rows(spark, docs):
     assert exact_dedup.exact_dedup(twice).count() == n
     assert ngram_join.ngram_join(twice).count() == n
     assert decontamination.contamination(twice, spark.createDataFrame([(1, prose(0, 120))], "item_id long, text string")).count() == n
-    assert suffix_dedup.suffix_dedup(twice).count() == n
-    assert phrase_dedup.phrase_dedup(twice).count() == n
+    for dedup in (suffix_dedup.suffix_dedup, phrase_dedup.phrase_dedup):  # they count as one text
+        assert sorted(dedup(twice).collect()) == sorted(2 * dedup(docs).collect())
+    other = docs.withColumn("text", F.substring("text", 1, 700))  # and so do others of that doc_id, of whatever length
+    assert suffix_dedup.suffix_dedup(docs.union(other)).count() == phrase_dedup.phrase_dedup(docs.union(other)).count() == n
     assert token_files.read_token_files(token_files.write_token_files(twice, public_tokenizers.path("word_bpe_49k.json"), work_path(spark, "twice"))).count() == n
