@@ -46,7 +46,7 @@ def word_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def windows(words: int = WORDS, **limits: int) -> Windows:
-    return Windows(word_units, words, max(1, words * 2 // 5), **limits)
+    return Windows(word_units, words, max(1, words * 2 // 5), **{"shard_units": 600_000, **limits})
 
 
 def cutter(text: bytes):

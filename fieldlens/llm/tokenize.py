@@ -10,6 +10,11 @@ apart, where the cut can't change the pre-tokens:
 * word vocabulary: white space never belongs to a pre-token, so every space is
   a cut.
 
+Added tokens (such as an end mark written out in a text) are found in the raw
+text before all else, and what is between them is encoded apart, as the library
+does; a vocabulary whose added tokens have other rules (normalised, stripped or
+single words) goes through the library's whole encode.
+
 A part of plain Latin letters, digits and ASCII signs is split by the
 vocabulary's own pattern and its pre-tokens go to the library's BPE model; any
 other part goes through the library's whole encode. Memos are of bounded size.
@@ -50,7 +55,6 @@ class Pieces(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.words = self.tokenizer.normalizer is not None
         self.pattern = re.compile((WORD_PATTERN if self.words else BYTE_PATTERN).replace(r"[^\s\p{L}\p{N}]", rf"[^\s{LETTERS}0-9]").replace(r"[\p{L}]", f"[{LETTERS}]").replace(r"\p{L}", f"[{LETTERS}]").replace(r"[\p{N}]", "[0-9]").replace(r"\p{N}", "[0-9]"))
@@ -118,8 +122,24 @@ class TextEncoder:
         self.rest = Pieces(path, " ")
         self.words = self.rest.words
         self.rest.lead = "" if self.words else " "
+        added = self.rest.tokenizer.get_added_tokens_decoder()
+        self.usual = all(not (t.normalized or t.lstrip or t.rstrip or t.single_word) for t in added.values())
+        self.added = {t.content: Pieces.pack([i]) for i, t in added.items()}
+        self.border = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True))))
 
     def encode(self, text: str) -> bytes:
+        if not any(map(text.__contains__, self.added)):
+            return self.between(text)
+        if not self.usual:
+            return self.rest.whole(text)
+        out, at = [], 0
+        for m in self.border.finditer(text):
+            out += [self.between(text[at : m.start()]), self.added[m[0]]]
+            at = m.end()
+        return b"".join([*out, self.between(text[at:])])
+
+    def between(self, text: str) -> bytes:
+        """Of a text without added tokens."""
         if not text:
             return b""
         head, _, tail = text.partition(" ")

@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from fieldlens.llm import decontamination, exact_dedup, language_id, ngram_join, packing, phrase_dedup, suffix_dedup, token_counts, token_files, tokenize, url_reputation
 from fieldlens.llm.registry import ship
@@ -19,6 +20,15 @@ WHITE = "[^\x20\x09-\x0d]+"
 ODD = ["", " ", "  a  b ", "a\n b", "\n\n x", "Ünï  cødé ’s it's\tTab\u3000wide\u00a0nb", "x ", " x", "日本語 テスト", "é\u0301 a", "ÀB'S 12 345 <|endoftext|>b", "ǅ Σας ΣΑΣ", "foo \x1c bar\x85baz", "\u200b zero", "😀 😀👍🏽 x", "I'LL we'll 'ts", "..."]
 
 
+ADDED = ["<|endoftext|>", "<|startoftext|>", "a <|endoftext|> b", "<|endoftext|>x", "é<|startoftext|>", "<|endoftext|><|startoftext|>  y", "A<|ENDOFTEXT|>z <|startoftext |>", " <|endoftext|>\n"]
+
+
+def library(path: str):
+    """text -> ids as bytes, by the library alone."""
+    plain = Tokenizer.from_file(path)
+    return lambda text: np.array(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def prose(seed: int, words: int) -> str:
     rnd = random.Random(seed)
     return " ".join("".join(rnd.choice(["an", "the", "or", "ing", "es", "ti", "on"]) for _ in range(rnd.randint(1, 4))) for _ in range(words))
@@ -27,7 +37,7 @@ def prose(seed: int, words: int) -> str:
 def corpus() -> list[tuple]:
     """(doc_id, text): repeats, near copies, shared passages, odd and null texts, a long one."""
     p = prose(0, 120)
-    texts = [None, *ODD, prose(1, 300), prose(1, 300), prose(1, 300).replace("ing", "xx", 2), p, "start " + p + " end", p + " more " + p, prose(2, 60) + " " + p, "z " * 900, prose(3, 9000), prose(4, 19), prose(4, 20), prose(4, 21), prose(4, 3), prose(4, 3)]
+    texts = [None, *ODD, prose(1, 300), prose(1, 300), prose(1, 300).replace("ing", "xx", 2), p, "start " + p + " end", p + " more " + p, prose(2, 60) + " " + p, "z " * 900, prose(3, 9000), prose(4, 19), prose(4, 20), prose(4, 21), prose(4, 3), prose(4, 3), *ADDED]
     return list(enumerate(texts))
 
 
@@ -90,6 +100,25 @@ def test_urls(spark):
     assert got[6][2:] == ("com/fr/", "allow") and got[7][2:] == ("com/de/", "block") and got[8][2:] == ("org/", "allow")
 
 
+def test_urls_by_labelled_outcomes(spark):
+    """A host is blocked by its evidence alone, and a new host by that of its domain; columns that clash don't matter."""
+    rows = [(i, f"https://u:p@Shop.Bad.co.uk:8443/p/{i}", 1, "x", 0) for i in range(60)] + [(100 + i, f"https://w{i}.bad.co.uk./", 1, "x", 0) for i in range(40)]
+    rows += [(200 + i, f"https://shop.fine.co.uk/p/{i}", 0, "x", 0) for i in range(60)] + [(300 + i, f"https://s{i}.fine.co.uk/p/{i}", 0, "x", 0) for i in range(40)]
+    rows += [(400, "https://new.bad.co.uk/", None, "x", 0), (401, "https://new.fine.co.uk/", None, "x", 0), (402, "https://bad.co.uk/", None, "x", 0), (403, "https://10.0.0.1/", 0, "x", 0), (404, "https://shop.bad.co.uk/de", None, "x", 0)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, label int, host string, key int")
+    got = {r["page_id"]: (r["host"], r["verdict"]) for r in url_reputation.judge_urls(pages, outcome=F.col("label")).collect()}
+    assert got[0] == ("u:p@shop.bad.co.uk:8443", "block") and got[404] == ("shop.bad.co.uk", "block") and got[200][1] == "allow"
+    assert got[400][1] == "block" and got[402][1] == "block" and got[401][1] == "allow" and got[403][1] == "allow"
+    parts = spark.createDataFrame([(h,) for h in ("a.b.co.uk", "b.co.uk", "co.uk", "x.y.com", "com", "", "10.0.0.1")], "h string").select("h", *url_reputation.suffix_and_domain(F.col("h")))
+    assert [tuple(r) for r in parts.collect()] == [("a.b.co.uk", "co.uk", "b.co.uk"), ("b.co.uk", "co.uk", "b.co.uk"), ("co.uk", "co.uk", "co.uk"), ("x.y.com", "com", "y.com"), ("com", "com", "com"), ("", "", ""), ("10.0.0.1", "10.0.0.1", "10.0.0.1")]
+
+
+def test_rules_of_equal_length_and_repeated_pages(spark):
+    pages = spark.createDataFrame([(1, "x://a.com/b/"), (1, "x://a.com/b/"), (2, "x://b.com/b/")], "page_id long, url string")
+    got = sorted(map(tuple, url_reputation.judge_urls(pages, [("block", "a.com/b/"), ("allow", "com/b/"), ("allow", "b.com/b/")]).select("page_id", "rule", "verdict").collect()))
+    assert got == [(1, "a.com/b/", "block")] * 2 + [(2, "b.com/b/", "allow")]
+
+
 def test_reputation_shrinks(spark):
     rows = [("bad.x.net", 200, 190), ("good.x.net", 200, 2), ("new.x.net", 0, 0), ("few.y.net", 1, 1)]
     got = {r["host"]: (r["mean"], r["bound"]) for r in url_reputation.host_reputation(spark.createDataFrame(rows, "host string, n int, y int")).collect()}
@@ -141,21 +170,22 @@ def test_token_counts(spark, docs):
 def test_encoder_equals_library(name):
     e = tokenize.TextEncoder(public_tokenizers.path(name))
     rnd = random.Random(5)
-    signs = ["a", "The", "é", " ", "  ", "\n", "'s", "12", ".", "!!", "日", "\t", "\u00a0", "ß", "İ"]
-    for t in [t for _, t in corpus() if t is not None] + ["".join(rnd.choice(signs) for _ in range(rnd.randint(1, 30))) for _ in range(500)]:
-        assert e.encode(t) == e.rest.whole(t), t
+    signs = ["a", "The", "é", " ", "  ", "\n", "'s", "12", ".", "!!", "日", "\t", "\u00a0", "ß", "İ", "<|endoftext|>", "<|startoftext|>", "<|", "|>"]
+    whole = library(public_tokenizers.path(name))
+    for t in [t for _, t in corpus() if t is not None] + ["".join(rnd.choice(signs) for _ in range(rnd.randint(1, 30))) for _ in range(2000)]:
+        assert e.encode(t) == whole(t), t
 
 
 def test_packing(spark, docs):
     path = public_tokenizers.path("byte_bpe_50k.json")
     rows = packing.pack_documents(docs, path, size=256).collect()
-    e = tokenize.TextEncoder(path)
+    whole = library(path)
     by_doc, by_seq = defaultdict(list), defaultdict(list)
     for r in rows:
         by_doc[r["doc_id"]].append(r)
         by_seq[r["sequence_id"]].append(r)
     for i, t in corpus():
-        ids = e.rest.whole(t or "") + b"\0\0\0\0"
+        ids = whole(t or "") + b"\0\0\0\0"
         parts = sorted(by_doc[i], key=lambda r: r["piece"])
         assert [p["piece"] for p in parts] == list(range(len(parts)))
         assert sum(p["length"] for p in parts) == len(ids) // 4 and all(p["length"] == 256 for p in parts[1:])
@@ -353,11 +383,11 @@ def test_word_codes():
 
 def test_token_files(spark, docs):
     path = public_tokenizers.path("word_bpe_49k.json")
-    e = tokenize.TextEncoder(path)
+    whole = library(path)
     got = {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in token_files.read_token_files(token_files.write_token_files(docs, path, work_path(spark, "files"))).collect()}
     at = 0
     for i, t in corpus():
-        ids = e.rest.whole(t or "") + (1).to_bytes(4, "little")
+        ids = whole(t or "") + (1).to_bytes(4, "little")
         assert got[i] == (at, len(ids) // 4, zlib.crc32(ids))
         at += len(ids) // 4
 

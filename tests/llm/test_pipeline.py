@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
-from fieldlens.llm import tokenize
+from tests.llm.test_operators import library
 
 SF = "/root/testdata/sf0.001"
 
@@ -80,13 +80,13 @@ def test_stages(spark, stages):
     assert ids[3] == near_groups(rows[2])
     items = [r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     assert ids[4] == ids[3] - leaks(rows[3], items)
-    e = tokenize.TextEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    whole = library(public_tokenizers.path("byte_bpe_50k.json"))
     pieces = defaultdict(dict)
     for r in packed.collect():
         pieces[r["doc_id"]][r["piece"]] = r
     assert set(pieces) == ids[4]
     for r in rows[4]:
-        own = e.rest.whole(r["text"] or "") + b"\0\0\0\0"
+        own = whole(r["text"] or "") + b"\0\0\0\0"
         for p in pieces[r["doc_id"]].values():
             assert p["ids_crc32"] == zlib.crc32(own[4 * p["start"] : 4 * (p["start"] + p["length"])])
 
