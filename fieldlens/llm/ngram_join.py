@@ -1,16 +1,22 @@
-"""N-gram Jaccard join: MinHash bands, then exact verification.
+"""N-gram Jaccard join: a MinHash LSH forest, then exact verification.
 
 1. Texts with the same words are one class; its id is the least doc_id.
-2. A class has the set of its 5-word shingles and a MinHash of TREES x depth
-   values, in TREES bands (trees) of depth values; two classes with an equal band are
-   candidates. This is fixed banding, not an LSH forest: no labels of full
-   length, tries or shortening of single matches are made.
-3. depth is the greatest, from DEPTH down, with which the chance that a pair at
-   the similarity limit shares a band reaches the target recall.
-   Classes are grouped by bands; a bucket's pairs are made block against
-   block, in rows of bounded size, and only in the first tree that the pair
-   shares, so that no pair is made twice.
-4. Each candidate pair is verified on its two whole shingle sets.
+2. A class has the set of its 5-word shingles and, in each of TREES trees, a
+   label of DEPTH MinHash values. A tree is the prefix trie of its labels; a node
+   is known by the hash of its prefix, so a class has a path of nodes in each
+   tree, and the classes below a node are those with its id on their path.
+3. The forest is searched from the leaves up. At first, pairs with equal whole
+   labels in some tree are candidates and are verified on their two whole
+   shingle sets. Then the matched prefixes are shortened by one value at a time
+   and the pairs that this adds are verified, until a pair as unlike as the least
+   similar link found so far is found with the target recall. No prefix is
+   shortened beyond the depth (4) at which this holds for pairs at the
+   similarity limit itself.
+4. The members below a node are compared block against block, in rows of bounded
+   size, and a pair only at its longest match, in the first tree that has it, so
+   that no pair is made twice. Nodes without a pair of their own are left out
+   from aggregates alone: those below which all go on to one child, or share a
+   node of an earlier tree.
 
 Defined cases: a null text, or one without words, has no shingles, is a class
 for itself and has no links; a text of fewer than 5 words is one shingle; words
@@ -32,15 +38,20 @@ from fieldlens.llm import kernels
 from fieldlens.llm.registry import query, table
 from fieldlens.llm.support import buffers, chunks, components, groups, materialize, mix64, small, task_of, text_column
 
-SHINGLE, LIMIT, TREES, DEPTH, RECALL = 5, 0.8, 16, 8, 0.999
-#: Members of a block of a bucket.
-BLOCK = 192
+SHINGLE, LIMIT, TREES, DEPTH, RECALL = 5, 0.8, 16, 6, 0.999
+#: Members, and words of these, of a block of the classes below a node.
+BLOCK, BLOCK_WORDS = 1024, 1_500_000
+
+
+def found_with(similarity: float, trees: int, depth: int) -> float:
+    """The chance that two texts share a prefix of that depth in some tree."""
+    return 1 - (1 - similarity**depth) ** trees
 
 
 def prefix_depth(limit: float, trees: int, depth: int, recall: float) -> int:
     """The longest prefix with which a pair at the limit is found with that recall."""
     for d in range(depth, 0, -1):
-        if 1 - (1 - limit**d) ** trees >= recall:
+        if found_with(limit, trees, d) >= recall:
             return d
     return 1
 
@@ -62,8 +73,8 @@ def shingles(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple[n
     return h, border, out, np.append(0, np.cumsum(counts))
 
 
-def labels(docs: DataFrame, depth: int, trees: int = TREES, seed: int = 11) -> DataFrame:
-    """doc_id, k1, k2 (128 bits of the words' sequence), n_words, keys (for each tree the hash of its label's prefix of that depth)."""
+def labels(docs: DataFrame, floor: int, depth: int = DEPTH, trees: int = TREES, seed: int = 11) -> DataFrame:
+    """doc_id, k1, k2 (128 bits of the words' sequence), n_words, paths: the nodes of the trees at depth floor, then those at each depth below."""
     values = depth * trees
     rng = np.random.default_rng(seed)
     a = rng.integers(0, 1 << 63, values, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -81,16 +92,21 @@ def labels(docs: DataFrame, depth: int, trees: int = TREES, seed: int = 11) -> D
                 for salt in (1, 2):
                     s = np.append(np.uint64(0), np.cumsum(mix64(h + mix64(place + np.uint64(salt << 40)))))
                     ids.append((s[border[1:]] - s[border[:-1]]).view(np.int64))
-                keys = np.zeros((j - i, trees), np.uint64)
+                paths = np.zeros((j - i, depth - floor + 1, trees), np.uint64)
                 if len(full):
                     cuts = at[:-1][full]
-                    for v in range(values):
-                        low = np.minimum.reduceat((g * a[v] + b[v]) >> np.uint64(32), cuts)
-                        keys[full, v // depth] = mix64(keys[full, v // depth] + low + np.uint64(v + 1))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * trees), pa.array(keys.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(ids[0]), pa.array(ids[1]), pa.array(n.astype(np.int64)), lists], names=["doc_id", "k1", "k2", "n_words", "keys"])
+                    for tree in range(trees):
+                        node = np.zeros(len(full), np.uint64)
+                        for d in range(1, depth + 1):
+                            v = tree * depth + d - 1
+                            node = mix64(node + np.minimum.reduceat((g * a[v] + b[v]) >> np.uint64(32), cuts) + np.uint64(v + 1))
+                            if d >= floor:
+                                paths[full, d - floor, tree] = node
+                width = trees * (depth - floor + 1)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * width), pa.array(paths.view(np.int64).ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(ids[0]), pa.array(ids[1]), pa.array(n.astype(np.int64)), lists], names=["doc_id", "k1", "k2", "n_words", "paths"])
 
-    return docs.mapInArrow(run, "doc_id long, k1 long, k2 long, n_words long, keys array<long>")
+    return docs.mapInArrow(run, "doc_id long, k1 long, k2 long, n_words long, paths array<long>")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -116,7 +132,7 @@ def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     _, codes = np.unique(np.concatenate(parts), return_inverse=True)
     owner = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
     out = np.zeros((len(left), len(right)))
-    width = 1 << 14
+    width = max(256, (1 << 22) // len(parts))
     order = np.argsort(codes, kind="stable")
     codes, owner = codes[order], owner[order]
     for c in range(0, int(codes[-1]) + 1 if len(codes) else 0, width):
@@ -128,11 +144,12 @@ def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
 
 
 def verified(members: DataFrame, limit: float) -> DataFrame:
-    """members: task, tree, side (0, 1: of a pair of blocks; 2: of a block with itself), rep, keys, shingles.
+    """members: task, tree, side (0, 1: of a pair of blocks; 2: of a block with itself), rep, keys (nodes at this depth in all trees), deeper (those one deeper, or null), shingles.
 
-    Returns rep, links, root: the links that the task found for rep, and the
-    least class of those it is connected with there. A pair counts in the first
-    tree that it shares.
+    Returns rep, links, root, least: the links that the task found for rep, the
+    least class of those it is connected with there, and the least similarity of
+    its links. A pair counts if it matches no deeper in any tree, and in the first
+    tree in which it matches.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,21 +157,27 @@ def verified(members: DataFrame, limit: float) -> DataFrame:
         for t in groups(batches):
             tree = t.column("tree")[0].as_py()
             side, rep = t.column("side").to_numpy(), t.column("rep").to_numpy()
-            keys = np.array(t.column("keys").to_pylist(), dtype=np.int64)
+            keys, deeper = (np.array(t.column(c).to_pylist(), dtype=np.int64) if t.column(c).null_count == 0 else None for c in ("keys", "deeper"))
             sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("shingles").combine_chunks()]
             lefts, rights = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
             if not len(lefts) or not len(rights):
                 continue
+            link = (keys[lefts, tree][:, None] == keys[rights, tree]) & (rep[lefts][:, None] != rep[rights])
+            for e in range(tree):  # pairs that an earlier tree has
+                link &= keys[lefts, e][:, None] != keys[rights, e]
+            for e in range(keys.shape[1] if deeper is not None else 0):  # pairs that were found before
+                link &= deeper[lefts, e][:, None] != deeper[rights, e]
+            some, others = np.flatnonzero(link.any(1)), np.flatnonzero(link.any(0))
+            if not len(some):
+                continue
+            lefts, rights, link = lefts[some], rights[others], link[np.ix_(some, others)]
             both = intersections([sets[q] for q in lefts], [sets[q] for q in rights])
             sizes = np.array([len(x) for x in sets])
             union = sizes[lefts][:, None] + sizes[rights] - both
-            link = both >= limit * union - 1e-9
-            for e in range(tree):  # pairs that an earlier tree has
-                link &= keys[lefts, e][:, None] != keys[rights, e]
-            link &= keys[lefts, tree][:, None] == keys[rights, tree]
-            link &= rep[lefts][:, None] != rep[rights]
+            link &= both >= limit * union - 1e-9
             root = rep.copy()
             x, y = np.nonzero(link)
+            alike = both[x, y] / union[x, y]
             x, y = lefts[x], rights[y]
             while True:  # least label along links
                 low = root.copy()
@@ -163,48 +186,63 @@ def verified(members: DataFrame, limit: float) -> DataFrame:
                 if (low == root).all():
                     break
                 root = low
-            links = np.zeros(len(rep), np.int64)
+            links, least = np.zeros(len(rep), np.int64), np.ones(len(rep))
             np.add.at(links, x, 1)
+            np.minimum.at(least, x, alike)
             if (side != 2).any():
                 np.add.at(links, y, 1)
             hit = np.flatnonzero(links)
-            yield pa.RecordBatch.from_arrays([pa.array(rep[hit]), pa.array(links[hit]), pa.array(root[hit])], names=["rep", "links", "root"])
+            yield pa.RecordBatch.from_arrays([pa.array(rep[hit]), pa.array(links[hit]), pa.array(root[hit]), pa.array(least[hit])], names=["rep", "links", "root", "least"])
 
-    ordered = members.select("task", "tree", "side", "rep", "keys", "shingles").repartition("task").sortWithinPartitions("task")
-    return ordered.mapInArrow(run, "rep long, links long, root long")
+    ordered = members.select("task", "tree", "side", "rep", "keys", "deeper", "shingles").repartition("task").sortWithinPartitions("task")
+    return ordered.mapInArrow(run, "rep long, links long, root long, least double")
 
 
-def ngram_join(docs: DataFrame, limit: float = LIMIT, recall: float = RECALL, trees: int = TREES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def linked_at(near: DataFrame, sets: DataFrame, depth: int, trees: int, limit: float) -> DataFrame:
+    """Links of the pairs whose longest match has that depth. near: rep, n_words, keys, deeper (as in verified())."""
+    leaves = near.select("rep", "n_words", "keys", "deeper", F.posexplode("keys").alias("tree", "node"))
+    spread = [(F.min(F.col("keys")[e]) == F.max(F.col("keys")[e])).alias(f"e{e}") for e in range(trees)]
+    child = F.element_at("deeper", F.col("tree") + 1)
+    nodes = leaves.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("words"), (F.min(child) == F.max(child)).alias("one_child"), *spread)
+    own = (F.col("n") > 1) & ~F.coalesce("one_child", F.lit(False))
+    for e in range(trees - 1):  # all its pairs are below an earlier tree's node
+        own = own & ~(F.col(f"e{e}") & (F.col("tree") > e))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("words") / BLOCK_WORDS)).cast("int")
+    nodes = materialize(nodes.filter(own).select("tree", "node", blocks.alias("blocks")), "nodes")
+    rows = leaves.join(nodes, ["tree", "node"]).withColumn("block", F.pmod(F.xxhash64("rep", "node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    task = F.xxhash64("tree", "node", F.least("block", "other"), F.greatest("block", "other"))
+    side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
+    rows = materialize(rows.select(task.alias("task"), "tree", side.alias("side"), "rep", "keys", "deeper"), "tasks")
+    return materialize(verified(rows.join(sets, "rep"), limit), "links")
+
+
+def ngram_join(docs: DataFrame, limit: float = LIMIT, recall: float = RECALL, trees: int = TREES, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
     """One row per document: doc_id, class_id (least doc_id of its near-duplicate group), text_class (of its words), n_links (other text classes that are linked to it)."""
-    depth = prefix_depth(limit, trees, DEPTH, recall)
+    floor = prefix_depth(limit, trees, depth, recall)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = materialize(labels(docs, depth, trees), "labels")
-    classes = rows.filter("n_words > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
+    rows = materialize(labels(docs, floor, depth, trees), "labels")
+    classes = rows.filter("n_words > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n_words").alias("n_words"), F.first("paths").alias("paths"))
     classes = materialize(classes, "classes")
-    leaves = classes.filter("rep is not null").select("rep", F.posexplode("keys").alias("tree", "key"))
-    shared = materialize(leaves.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "shared")
-    members = materialize(leaves.join(shared, ["tree", "key"]), "members").join(classes.select("rep", "keys"), "rep")
-    members = materialize(members, "members-keys")
-    # a bucket whose members all share an earlier tree's bucket has no pair of its own
-    spread = [(F.min(F.col("keys")[e]) == F.max(F.col("keys")[e])).alias(f"e{e}") for e in range(trees)]
-    alike = members.groupBy("tree", "key").agg(*spread)
-    earlier = F.lit(False)
-    for e in range(trees - 1):
-        earlier = earlier | (F.col(f"e{e}") & (F.col("tree") > e))
-    own = members.join(materialize(alike.filter(~earlier).select("tree", "key"), "own-buckets"), ["tree", "key"])
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = own.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep", "key"), F.col("blocks")).cast("int"))
-    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    task = F.xxhash64("tree", "key", F.least("block", "other"), F.greatest("block", "other"))
-    side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
-    own = materialize(own.select(task.alias("task"), "tree", side.alias("side"), "rep", "keys"), "tasks")
-    wanted = small(materialize(own.select(F.col("rep").alias("doc_id")).distinct(), "wanted"), 2_000_000)
-    one = docs.join(wanted, "doc_id", "left_semi")  # a rep's text; of repeated rows of a doc_id any of that class
+    # whoever matches at any depth also does at the least one, where most classes have no other below their nodes
+    roots = classes.filter("rep is not null").select("rep", F.posexplode(F.slice("paths", 1, trees)).alias("tree", "node"))
+    shared = materialize(roots.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("tree", "node"), "shared")
+    wanted = materialize(roots.join(shared, ["tree", "node"]).select("rep").distinct(), "wanted")
+    near = materialize(classes.join(wanted, "rep").select("rep", "n_words", "paths"), "near")
+    one = docs.join(small(wanted.select(F.col("rep").alias("doc_id")), 2_000_000), "doc_id", "left_semi")  # a rep's text; of repeated rows of a doc_id any of that class
     sets = materialize(shingle_sets(one), "shingle-sets").dropDuplicates(["rep"])
-    found = materialize(verified(own.join(sets, "rep"), limit), "links")
+    found = None
+    for d in range(depth, floor - 1, -1):
+        keys = F.slice("paths", (d - floor) * trees + 1, trees).alias("keys")
+        deeper = F.slice("paths", (d + 1 - floor) * trees + 1, trees) if d < depth else F.lit(None).cast("array<long>")
+        links = linked_at(near.select("rep", "n_words", keys, deeper.alias("deeper")), sets, d, trees, limit)
+        found = links if found is None else found.union(links)
+        least = found.agg(F.min("least")).first()[0]
+        if least is not None and found_with(least, trees, d) >= recall:
+            break
     links = found.groupBy("rep").agg(F.sum("links").alias("n_links"))
-    roots = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    marks = small(materialize(links.join(roots, F.col("rep") == F.col("node"), "left").select("rep", "n_links", F.coalesce("root", "rep").alias("root")), "marks"))
+    groups_of = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
+    marks = small(materialize(links.join(groups_of, F.col("rep") == F.col("node"), "left").select("rep", "n_links", F.coalesce("root", "rep").alias("root")), "marks"))
     by_class = classes.join(marks, "rep", "left").select("k1", "k2", "rep", "n_links", "root")
     out = rows.join(by_class, ["k1", "k2"], "left")
     alone = (F.col("n_words") == 0) | F.col("rep").isNull()

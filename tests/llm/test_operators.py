@@ -339,10 +339,29 @@ def test_prefix_is_shortened_to_recall():
     assert 1 - (1 - 0.8**d) ** 16 >= 0.999 > 1 - (1 - 0.8 ** (d + 1)) ** 16
 
 
-@pytest.mark.parametrize("block", [4, 192])
-def test_near_family(spark, block, monkeypatch):
+@pytest.mark.parametrize("low, levels", [(0.97, 1), (0.81, 3)])
+def test_prefixes_are_shortened_only_as_far_as_needed(spark, low, levels, monkeypatch):
+    """Very alike pairs are found by whole labels; one pair near the limit makes the search go up to the least depth."""
+    ship(spark)
+    depths, linked_at = [], ngram_join.linked_at
+    monkeypatch.setattr(ngram_join, "linked_at", lambda near, sets, depth, *rest: depths.append(depth) or linked_at(near, sets, depth, *rest))
+    rows = []
+    for i in range(30):
+        w = [f"w{i}x{k}" for k in range(1000)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join([*w[:500], "edit", *w[501:]]))]
+    w = [f"low{k}" for k in range(1000)]
+    cut = round(1000 * (1 - low) / (1 + low))
+    rows += [(100, " ".join(w)), (101, " ".join([*w[cut:], *(f"new{k}" for k in range(cut))]))]
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == (i // 2 * 2, 1) for i in range(60)) and got[100] == got[101] == (100, 1)
+    assert len(depths) == levels and depths[0] == ngram_join.DEPTH
+
+
+@pytest.mark.parametrize("block, words", [(4, 10**6), (192, 10**6), (1024, 1500)])
+def test_near_family(spark, block, words, monkeypatch):
     ship(spark)
     monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "BLOCK_WORDS", words)
     base = prose(11, 400).split()
     rows = [(i, " ".join(base[:i] + [f"edit{i}"] + base[i + 1 :])) for i in range(40)] + [(100 + i, prose(50 + i, 200)) for i in range(20)]
     d = spark.createDataFrame(rows, "doc_id long, text string")
