@@ -37,6 +37,10 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
+#: Rows of a bucket of an index that is made for one input.
+BUCKET_ROWS = 2_000_000
+
+
 class DigestIndex:
     """The index at a path of the shared store; opened again by the same path later."""
 
@@ -67,15 +71,18 @@ class DigestIndex:
         )
 
 
-def exact_dedup(docs: DataFrame, index_path: str | None = None, buckets: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_dedup(docs: DataFrame, index_path: str | None = None, buckets: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
-    The documents go through the index at index_path, or through a new one. The
+    The documents go through the index at index_path, or through a new one.
+    buckets is fixed for an index: give it with a path (else 64); for a new one
+    it follows from the rows, BUCKET_ROWS of them each. The
     last join meets rows and index entries by digest; both sides are plain
     exchanges, so that Spark can split the rows of a digest with very many copies.
     """
     spark = docs.sparkSession
     rows = materialize(digests(docs, id_col, text_col), "digests")
+    buckets = buckets or (64 if index_path else max(64, rows.count() // BUCKET_ROWS))
     index = DigestIndex(spark, index_path or work_path(spark, "digest-index"), buckets)
     index.append(rows)
     entries = spark.read.schema(index.rows().schema).parquet(index.path)

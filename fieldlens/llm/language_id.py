@@ -54,7 +54,7 @@ def grams(data: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.n
 
 def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of a text with their shares."""
-    data = np.frombuffer(text.lower().encode(), np.uint8)
+    data = np.frombuffer(pc.utf8_lower(text).as_py().encode(), np.uint8)  # lowered as in predictions
     b = np.concatenate([x[ok] for x, ok in grams(data, np.full(len(data), len(data)))] or [np.zeros(0, np.int32)])
     u, c = np.unique(b, return_counts=True)
     return u, c / max(1, len(b))
@@ -181,12 +181,13 @@ def accepted(docs: DataFrame, model: LanguageModel | None, text_col: str = "text
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2
+    """Whether a document is kept from training; one without an id is not said to be, though it isn't learned from either."""
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
 def train_on_documents(docs: DataFrame) -> LanguageModel | None:
     """Fit on text and lang of the documents that are not held out."""
-    return fit_on(docs.filter(~F.coalesce(held_out(F.col("doc_id")), F.lit(True))).select(F.col("doc_id").alias("id"), "text", "lang"))
+    return fit_on(docs.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("id"), "text", "lang"))
 
 
 @query("op3_language_id")

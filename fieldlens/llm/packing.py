@@ -8,7 +8,8 @@
    a few rows for each length.
 4. A piece takes the slot of its rank within its length. Ranks come in two
    steps (rank in a hash share of the length, plus the count of the shares
-   before), so that no task holds all pieces of one length.
+   before); a length has as many shares as its count needs, so that no task
+   holds all pieces of one length, however common it is.
 
 Defined cases: a null or empty text is one piece that holds only the end id;
 equal lengths are ranked by (share, doc_id, piece); an empty table gives an
@@ -92,14 +93,14 @@ def plan(counts: dict[int, int], size: int) -> list[tuple[int, int, int, int]]:
     return rows
 
 
-def best_fit_pack(pieces: DataFrame, size: int = SIZE, shares: int = 256) -> DataFrame:
-    """pieces (as from tokenized_pieces) with sequence_id and offset."""
-    share = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shares)).cast("int")
-    pieces = pieces.withColumn("share", share)
+def best_fit_pack(pieces: DataFrame, size: int = SIZE, share_rows: int = 20_000) -> DataFrame:
+    """pieces (as from tokenized_pieces) with sequence_id and offset. share_rows: pieces in a share of a length, on average."""
+    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most size rows
+    shares = pieces.sparkSession.createDataFrame([(k, -(-n // share_rows)) for k, n in counts.items()], "length long, shares long")
+    share = F.pmod(F.xxhash64("doc_id", "piece"), F.col("shares"))
+    pieces = pieces.join(F.broadcast(shares), "length").withColumn("share", share).select(*pieces.columns, "share")
     by_share = pieces.groupBy("length", "share").agg(F.count(F.lit(1)).alias("n"))
-    # at most size x shares rows, summed up to size rows
     before = by_share.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("share")) - F.col("n"))
-    counts = {r["length"]: r["n"] for r in by_share.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     slots = np.array(plan(counts, size), dtype=np.int64).reshape(-1, 4)
     order = np.lexsort((slots[:, 1], slots[:, 0]))
     slots = slots[order]

@@ -16,11 +16,13 @@ CHUNK_BYTES = 1 << 21
 
 
 def work_root(spark: SparkSession) -> str:
-    """The folder that the cluster shares; one of our own only where none is set."""
+    """The folder that the cluster shares; on a single machine one of our own where none is set."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='fieldlens-')}"
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")

@@ -107,24 +107,29 @@ def edge(c: str) -> bool:
 
 
 @functools.lru_cache(2)
-def text_encoder(path: str) -> TextEncoder:
+def text_encoder(path: str, added: bool = True) -> TextEncoder:
     """The encoder of a worker process, which its later tasks use again."""
-    return TextEncoder(path)
+    return TextEncoder(path, added)
 
 
 keeps("tokenize", text_encoder.cache_clear)
 
 
 class TextEncoder:
-    """Ids of whole texts, as 32-bit words in the machine's (little-endian) order."""
+    """Ids of whole texts, as 32-bit words in the machine's (little-endian) order.
 
-    def __init__(self, path: str):
+    added: whether added tokens that a text spells out get their ids, which is
+    the library's default; otherwise they are ordinary text.
+    """
+
+    def __init__(self, path: str, added: bool = True):
         self.rest = Pieces(path, " ")
         self.words = self.rest.words
         self.rest.lead = "" if self.words else " "
-        added = self.rest.tokenizer.get_added_tokens_decoder()
-        self.usual = all(not (t.normalized or t.lstrip or t.rstrip or t.single_word) for t in added.values())
-        self.added = {t.content: Pieces.pack([i]) for i, t in added.items()}
+        self.rest.tokenizer.encode_special_tokens = not added
+        known = self.rest.tokenizer.get_added_tokens_decoder() if added else {}
+        self.usual = all(not (t.normalized or t.lstrip or t.rstrip or t.single_word) for t in known.values())
+        self.added = {t.content: Pieces.pack([i]) for i, t in known.items()}
         self.border = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True))))
 
     def encode(self, text: str) -> bytes:

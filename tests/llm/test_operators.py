@@ -146,6 +146,21 @@ def test_language_edges(spark, docs):
     assert none.filter("lang_pred <> 'und'").count() == 0
 
 
+def test_language_by_hand(spark, docs):
+    """Predictions are the softmax of the mean of the scores of a text's grams, taken one by one; equal scores go to the first label."""
+    model = language_id.fit(["the and of", "of the THE", "über die"] * 3 + ["der die das", "Die ÄRZTE"] * 3, ["en", "en", "de"] * 3 + ["de", "de"] * 3)
+    got = {r["doc_id"]: r for r in language_id.predict(docs.union(docs), model).collect()}
+    for i, t in corpus():
+        if not any(map(str.isalpha, t or "")):
+            continue
+        u, c = language_id.counted(t)
+        z = (c @ model.scores[u] + model.bias) / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert got[i]["score"] == pytest.approx(p.max()) and got[i]["lang_pred"] == model.labels[int(p.argmax())], t
+    even = language_id.LanguageModel(["a", "b"], np.zeros_like(model.scores), np.zeros(2))
+    assert {r["lang_pred"] for r in language_id.predict(docs, even).collect()} == {"a", "und"}
+
+
 def test_token_counts(spark, docs):
     path = public_tokenizers.path("piece_bpe_32k.model")
     scores = token_counts.pieces(path)
@@ -176,6 +191,29 @@ def test_encoder_equals_library(name):
         assert e.encode(t) == whole(t), t
 
 
+def test_added_tokens_as_ordinary_text():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(path)
+    plain.encode_special_tokens = True
+    for t in ADDED:
+        assert tokenize.TextEncoder(path, added=False).encode(t) == np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_slots_do_not_depend_on_shares(spark, docs):
+    """Many shares of a length give as full sequences as one."""
+    pieces = packing.tokenized_pieces(docs.union(docs), public_tokenizers.path("byte_bpe_50k.json"), 64).cache()
+    for share_rows in (1, 3, 10**6):
+        rows = packing.best_fit_pack(pieces, 64, share_rows).collect()
+        fill = defaultdict(list)
+        for r in rows:
+            fill[r["sequence_id"]].append((r["offset"], r["length"]))
+        for s in fill.values():
+            s.sort()
+            assert [o for o, _ in s] == [sum(n for _, n in s[:k]) for k in range(len(s))] and sum(n for _, n in s) <= 64
+        assert len(rows) == pieces.count() and (share_rows == 1 or len(fill) == was)
+        was = len(fill)
+
+
 def test_packing(spark, docs):
     path = public_tokenizers.path("byte_bpe_50k.json")
     rows = packing.pack_documents(docs, path, size=256).collect()
