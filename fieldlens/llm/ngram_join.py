@@ -200,16 +200,19 @@ def verified(members: DataFrame, limit: float) -> DataFrame:
 
 def linked_at(near: DataFrame, sets: DataFrame, depth: int, trees: int, limit: float) -> DataFrame:
     """Links of the pairs whose longest match has that depth. near: rep, n_words, keys, deeper (as in verified())."""
-    leaves = near.select("rep", "n_words", "keys", "deeper", F.posexplode("keys").alias("tree", "node"))
+    leaves = near.select("rep", "n_words", "deeper", F.posexplode("keys").alias("tree", "node"))
+    leaves = leaves.select("rep", "n_words", "tree", "node", F.element_at("deeper", F.col("tree") + 1).alias("child"))
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_words") / BLOCK_WORDS)).cast("int").alias("blocks")
+    nodes = leaves.groupBy("tree", "node").agg(blocks, F.count(F.lit(1)).alias("n"), (F.min("child") == F.max("child")).alias("one_child"))
+    nodes = materialize(nodes.filter((F.col("n") > 1) & ~F.coalesce("one_child", F.lit(False))).select("tree", "node", "blocks"), "nodes")
+    members = leaves.select("rep", "tree", "node").join(nodes, ["tree", "node"])
+    members = materialize(members.join(near.select("rep", "keys", "deeper"), "rep"), "members")
     spread = [(F.min(F.col("keys")[e]) == F.max(F.col("keys")[e])).alias(f"e{e}") for e in range(trees)]
-    child = F.element_at("deeper", F.col("tree") + 1)
-    nodes = leaves.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("words"), (F.min(child) == F.max(child)).alias("one_child"), *spread)
-    own = (F.col("n") > 1) & ~F.coalesce("one_child", F.lit(False))
-    for e in range(trees - 1):  # all its pairs are below an earlier tree's node
+    own = F.lit(True)
+    for e in range(trees - 1):  # else all its pairs are below an earlier tree's node
         own = own & ~(F.col(f"e{e}") & (F.col("tree") > e))
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("words") / BLOCK_WORDS)).cast("int")
-    nodes = materialize(nodes.filter(own).select("tree", "node", blocks.alias("blocks")), "nodes")
-    rows = leaves.join(nodes, ["tree", "node"]).withColumn("block", F.pmod(F.xxhash64("rep", "node"), F.col("blocks")).cast("int"))
+    own = materialize(members.groupBy("tree", "node").agg(*spread).filter(own).select("tree", "node"), "own-nodes")
+    rows = members.join(own, ["tree", "node"]).withColumn("block", F.pmod(F.xxhash64("rep", "node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     task = F.xxhash64("tree", "node", F.least("block", "other"), F.greatest("block", "other"))
     side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
@@ -228,7 +231,7 @@ def ngram_join(docs: DataFrame, limit: float = LIMIT, recall: float = RECALL, tr
     roots = classes.filter("rep is not null").select("rep", F.posexplode(F.slice("paths", 1, trees)).alias("tree", "node"))
     shared = materialize(roots.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("tree", "node"), "shared")
     wanted = materialize(roots.join(shared, ["tree", "node"]).select("rep").distinct(), "wanted")
-    near = materialize(classes.join(wanted, "rep").select("rep", "n_words", "paths"), "near")
+    near = materialize(classes.join(small(wanted, 2_000_000), "rep").select("rep", "n_words", "paths"), "near")
     one = docs.join(small(wanted.select(F.col("rep").alias("doc_id")), 2_000_000), "doc_id", "left_semi")  # a rep's text; of repeated rows of a doc_id any of that class
     sets = materialize(shingle_sets(one), "shingle-sets").dropDuplicates(["rep"])
     found = None

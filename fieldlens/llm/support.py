@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -51,10 +52,13 @@ def keeps(owner: str, clear: Callable[[], None]) -> None:
 
 
 def task_of(owner: str) -> None:
-    """Called as a task starts: workers are used again, so what other operators kept there goes."""
+    """Called as a task starts: workers are used again, so what other operators kept there goes, and free memory goes back to the system."""
     for name, clear in _KEPT.items():
         if name != owner:
             clear()
+    pa.set_memory_pool(pa.system_memory_pool())
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        trim(0)
 
 
 def text_column(batch: pa.RecordBatch, name: str) -> pa.Array:
