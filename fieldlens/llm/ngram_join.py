@@ -216,7 +216,7 @@ def linked_at(near: DataFrame, sets: DataFrame, depth: int, trees: int, limit: f
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     task = F.xxhash64("tree", "node", F.least("block", "other"), F.greatest("block", "other"))
     side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
-    rows = materialize(rows.select(task.alias("task"), "tree", side.alias("side"), "rep", "keys", "deeper"), "tasks")
+    rows = rows.select(task.alias("task"), "tree", side.alias("side"), "rep", "keys", "deeper")
     return materialize(verified(rows.join(sets, "rep"), limit), "links")
 
 

@@ -56,7 +56,7 @@ def task_of(owner: str) -> None:
     for name, clear in _KEPT.items():
         if name != owner:
             clear()
-    pa.set_memory_pool(pa.system_memory_pool())
+    pa.default_memory_pool().release_unused()
     if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
         trim(0)
 
