@@ -31,9 +31,14 @@ def whole_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.text(path, wholetext=True).select("value", F.input_file_name().alias("source"))
 
 
-def read_results(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Documents of either kind (results, or predictions), one row per file, columns as model.RAW_DOCUMENT and source."""
-    raw = whole_files(spark, path)
+def texts(spark: SparkSession, path: str | list[str], per_line: bool = False) -> DataFrame:
+    """value, source: one row per file, or (per_line) one per line, which splits large files among tasks."""
+    return spark.read.text(path).select("value", F.input_file_name().alias("source")) if per_line else whole_files(spark, path)
+
+
+def read_results(spark: SparkSession, path: str | list[str], per_line: bool = False) -> DataFrame:
+    """Documents of either kind (results, or predictions), one row per document, columns as model.RAW_DOCUMENT and source. per_line: files have a document in each line."""
+    raw = texts(spark, path, per_line)
     is_predictions = F.get_json_object("value", "$.predictions").isNotNull()
     docs = raw.filter(~is_predictions).select("source", F.from_json("value", model.document_schema()).alias("d")).select("source", "d.*")
     has_images = F.when(F.col("images").isNull(), F.raise_error(F.concat(F.lit("no images in "), F.col("source"))).cast(docs.schema["images"].dataType)).otherwise(F.col("images"))
@@ -101,9 +106,9 @@ def read_results_csv(spark: SparkSession, path: str, rows: int | None = None) ->
     return out if rows is None else out.limit(rows)
 
 
-def read_checkpoint(spark: SparkSession, path: str) -> DataFrame:
+def read_checkpoint(spark: SparkSession, path: str, per_line: bool = False) -> DataFrame:
     """Images of a checkpoint document; an error if it has no checkpoint."""
-    rows = whole_files(spark, path).select(F.from_json("value", f"checkpoint array<{model.IMAGE.replace(model.DETECTION, model.RAW_DETECTION)}>").alias("c"))
+    rows = texts(spark, path, per_line).select(F.from_json("value", f"checkpoint array<{model.IMAGE.replace(model.DETECTION, model.RAW_DETECTION)}>").alias("c"))
     images = F.coalesce("c.checkpoint", F.raise_error(F.lit("not a checkpoint")).cast(rows.schema["c"].dataType["checkpoint"].dataType))
     return rows.select(F.explode(images).alias("i")).select("i.*").withColumn("detections", model.typed_detections(F.col("detections")))
 
@@ -116,11 +121,11 @@ def remaining(images: DataFrame, done: DataFrame) -> DataFrame:
 class AnnotationDb:
     """The tables of an annotation database: images, annotations, categories."""
 
-    def __init__(self, spark: SparkSession, path: str | list[str], lower: bool = True):
-        docs = whole_files(spark, path).select(F.from_json("value", COCO).alias("d")).select("d.*")
+    def __init__(self, spark: SparkSession, path: str | list[str], lower: bool = True, per_line: bool = False):
+        docs = texts(spark, path, per_line).select(F.from_json("value", COCO).alias("d")).select("d.*")
         self.images = docs.select(F.explode("images").alias("i")).select("i.*")
         self.annotations = docs.select(F.explode("annotations").alias("a")).select("a.*")
-        self.categories = docs.select(F.explode("categories").alias("c")).select("c.id", (F.lower("c.name") if lower else F.col("c.name")).alias("name"))
+        self.categories = docs.select(F.explode("categories").alias("c")).select("c.id", (F.lower("c.name") if lower else F.col("c.name")).alias("name")).distinct()
 
     def annotations_of_images(self) -> DataFrame:
         """id, annotations of every image, [] where there are none."""
@@ -129,7 +134,7 @@ class AnnotationDb:
 
     def classes_of_images(self) -> DataFrame:
         """id, classes: distinct names, in the order of their ids."""
-        j = self.annotations.join(F.broadcast(self.categories.withColumnRenamed("id", "category_id")), "category_id")
+        j = self.annotations.join(self.categories.withColumnRenamed("id", "category_id"), "category_id")
         c = j.groupBy(F.col("image_id").alias("id")).agg(F.array_sort(F.collect_set(F.struct("category_id", "name"))).alias("c"))
         return self.images.select("id").join(c, "id", "left").select("id", F.coalesce(F.transform("c", lambda x: x["name"]), F.array().cast("array<string>")).alias("classes"))
 
@@ -205,9 +210,9 @@ def header_size(data: bytes) -> tuple[int, int]:
     return -1, -1
 
 
-def read_list(spark: SparkSession, path: str) -> DataFrame:
-    """file: the strings of a JSON list, or the lines of a text."""
-    rows = whole_files(spark, path)
+def read_list(spark: SparkSession, path: str, per_line: bool = False) -> DataFrame:
+    """file: the strings of a JSON list, or the lines of a text. per_line: of lines that are such lists, or names."""
+    rows = texts(spark, path, per_line)
     as_json = F.from_json("value", "array<string>")
     return rows.select(F.explode(F.coalesce(as_json, F.split(F.trim("value"), r"\r?\n"))).alias("file"))
 

@@ -19,7 +19,7 @@ def grouped(rows: DataFrame, file: str, order: str, *cols: str) -> DataFrame:
 def from_rows(rows: DataFrame) -> DataFrame:
     """Detection rows (row_no, file, category, detection_conf, bbox1..4, class, classification_conf) to images; class ids as first seen."""
     ids = first_seen(rows.filter("class is not null"), "class", "row_no").withColumnRenamed("id", "class_id")
-    j = rows.join(F.broadcast(ids), "class", "left")
+    j = rows.join(ids, "class", "left")
     cls = F.when(F.col("class_id").isNotNull(), F.array(F.struct(F.col("class_id").alias("id"), F.col("classification_conf").alias("conf"))))
     d = j.select("file", "row_no", F.col("category").cast("string").alias("category"), F.col("detection_conf").alias("conf"), F.array(*[F.col(f"bbox{i}") for i in range(1, 5)]).alias("bbox"), cls.alias("classifications"))
     return grouped(d, "file", "row_no", "category", "conf", "bbox", "classifications")
@@ -127,7 +127,7 @@ def denormalised(images: DataFrame, annotations: DataFrame, categories: DataFram
     """image_id, name and taxonomy columns of each distinct category of each image; taxa: query (dataset:label), ..."""
     key = F.lower(F.concat(F.lit(f"{dataset}:"), F.col("name")))
     j = images.select(F.col("id").alias("image_id"), "location").join(annotations, "image_id").join(F.broadcast(categories.withColumnRenamed("id", "category_id")), "category_id")
-    return j.withColumn("query", key).join(F.broadcast(taxa), "query").dropDuplicates(["image_id", "category_id"])
+    return j.withColumn("query", key).join(taxa, "query").dropDuplicates(["image_id", "category_id"])
 
 
 def from_wide(rows: DataFrame, classes: list[str] | None = None, top: int = 5, least: float = 0.0) -> DataFrame:
