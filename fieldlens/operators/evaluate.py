@@ -221,3 +221,24 @@ def sorted_map(m: Column, by_value: bool = False, falling: bool = False) -> Colu
 def throughput(speeds: DataFrame, factors: DataFrame) -> DataFrame:
     """device, model, images_per_second: a device's speed times a model's factor."""
     return speeds.join(F.broadcast(factors)).select("device", "model", (F.col("speed") * F.col("factor")).alias("images_per_second"))
+
+
+def epoch_metrics(rows: DataFrame, ks: tuple[int, ...] = (1, 3), weight: str | None = None) -> DataFrame:
+    """Per label and over all (label -1): n, loss (mean of -log of the label's probability) and top_k accuracies. rows: label (place), scores (probabilities)."""
+    w = F.col(weight) if weight else F.lit(1.0)
+    own = F.get("scores", F.col("label").cast("int"))
+    marked = rows.select("label", w.alias("_w"), (-F.log(own)).alias("_loss"), *[rank_correct(F.col("scores"), F.col("label").cast("int"), k).cast("double").alias(f"_k{k}") for k in ks])
+    both = marked.unionByName(marked.withColumn("label", F.lit(-1).cast(marked.schema["label"].dataType)))
+    mean = [(F.sum(F.col(c) * F.col("_w")) / F.sum("_w")).alias(name) for c, name in (("_loss", "loss"), *((f"_k{k}", f"top_{k}") for k in ks))]
+    return both.groupBy("label").agg(F.count(F.lit(1)).alias("n"), *mean)
+
+
+def category_stats(text: Column, category: str = "all") -> Column:
+    """(images, labels, p, r, map50, map) of a category's row of a metrics table that a training tool prints."""
+    row = rf"(?m)^\s*{category}\s+(\d+)\s+(\d+)\s+([\d.]+)\s+([\d.]+)\s+([\d.]+)\s+([\d.]+)"
+    return F.when(text.rlike(row), F.struct(*[F.regexp_extract(text, row, k + 1).cast("long" if k < 2 else "double").alias(c) for k, c in enumerate(("images", "labels", "p", "r", "map50", "map"))]))
+
+
+def gray_fraction(pixels: Column) -> Column:
+    """Share of an array of pixels (r, g, b) whose three values are equal; null for none."""
+    return F.when(F.size(pixels) > 0, F.size(F.filter(pixels, lambda p: (p["r"] == p["g"]) & (p["g"] == p["b"]))) / F.size(pixels))

@@ -15,7 +15,7 @@ from fieldlens.operators.running import ranked
 
 def shuffled(ident: str, seed: int) -> Column:
     """An order that looks random and is fixed by the seed."""
-    return F.xxhash64(F.col(ident), F.lit(seed))
+    return F.md5(F.concat(F.lit(f"{seed}|"), F.col(ident).cast("string")))
 
 
 def sample(rows: DataFrame, n: int, seed: int, ident: str = "image_id") -> DataFrame:

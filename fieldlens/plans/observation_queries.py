@@ -181,26 +181,6 @@ def truth_outcomes(spark, sf):
     return o.groupBy("image_id", "outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("suppress_overlaps")
-def suppress_overlaps(spark, sf):
-    images = nested(Tables(spark, sf)).filter("failure is null")
-    return flat(images.withColumn("detections", overlap.suppressed(F.col("detections"), 0.45)))
-
-
-@query("repeat_clusters")
-def repeat_clusters(spark, sf):
-    t = Tables(spark, sf)
-    d = t["fx_detections"].filter("conf >= 0.1").join(t["fx_images"].select("image_id", "location"), "image_id")
-    return overlap.repeated(d, 0.9, 2)
-
-
-@query("repeat_negated")
-def repeat_negated(spark, sf):
-    t = Tables(spark, sf)
-    d = t["fx_detections"].join(t["fx_images"].select("image_id", "location"), "image_id")
-    return overlap.negated(d, overlap.repeated(d, 0.9, 3)).select("image_id", "det_ord", "conf")
-
-
 @query("compare_outcomes", fx("fx_images", "fx_detections") + """, a AS (SELECT i.image_id, coalesce(string_agg(DISTINCT category, ',' ORDER BY category) FILTER (WHERE conf >= 0.5), '') AS c, coalesce(max(conf), 0.0) AS t FROM fx_images i LEFT JOIN fx_detections d ON i.image_id = d.image_id AND det_ord % 2 = 0 WHERE failure IS NULL GROUP BY 1),
  b AS (SELECT i.image_id, coalesce(string_agg(DISTINCT category, ',' ORDER BY category) FILTER (WHERE conf >= 0.7), '') AS c, coalesce(max(conf), 0.0) AS t FROM fx_images i LEFT JOIN fx_detections d ON i.image_id = d.image_id AND det_ord % 2 = 1 WHERE failure IS NULL GROUP BY 1)
  SELECT a.image_id, CASE WHEN a.c <> '' AND b.c <> '' THEN CASE WHEN a.c = b.c THEN 'common_detections' ELSE 'class_transitions' END WHEN a.c <> '' THEN 'detections_a_only' WHEN b.c <> '' THEN 'detections_b_only' ELSE 'common_non_detections' END AS outcome,
@@ -245,17 +225,9 @@ def video_rollup(spark, sf):
     return seqs.video_detections(Tables(spark, sf)["fx_frames"], 2).select("video_id", "category", "frame_number", "conf")
 
 
-@query("image_status", fx("fx_capture") + ", l AS (SELECT location AS image_id, CASE category WHEN 'click' THEN 'empty' WHEN 'view' THEN 'unknown' ELSE category END AS name FROM fx_capture WHERE image_id % 29 = 0), s AS (SELECT image_id, bool_or(name = 'empty') AS n, bool_or(name = 'unknown') AS u, bool_or(name NOT IN ('empty', 'unknown')) AS p, count(DISTINCT name) AS k, min(name) AS m FROM l GROUP BY 1), i AS (SELECT DISTINCT location AS image_id FROM fx_capture) SELECT i.image_id, CASE WHEN coalesce(CAST(n AS INT) + CAST(u AS INT) + CAST(p AS INT), 0) > 1 THEN 'ambiguous' WHEN n THEN 'negative' WHEN p THEN 'positive' ELSE 'unknown' END AS status, CASE WHEN k = 1 THEN m END AS \"only\" FROM i LEFT JOIN s ON i.image_id = s.image_id")
-def image_status(spark, sf):
-    c = Tables(spark, sf)["fx_capture"]
-    name = F.when(F.col("category") == "click", "empty").when(F.col("category") == "view", "unknown").otherwise(F.col("category"))
-    labels = c.filter("image_id % 29 = 0").select(F.col("location").alias("image_id"), name.alias("name"))
-    return evaluate.image_status(labels, c.select(F.col("location").alias("image_id")).distinct())
-
-
-@query("image_status_all")
+@query("image_status_all", fx("fx_capture") + ", l AS (SELECT CAST(image_id // 3 AS BIGINT) AS image_id, CASE category WHEN 'click' THEN 'empty' WHEN 'view' THEN 'unknown' ELSE category END AS name FROM fx_capture), s AS (SELECT image_id, bool_or(name = 'empty') AS n, bool_or(name = 'unknown') AS u, bool_or(name NOT IN ('empty', 'unknown')) AS p, count(DISTINCT name) AS k, min(name) AS m FROM l GROUP BY 1) SELECT image_id, CASE WHEN CAST(n AS INT) + CAST(u AS INT) + CAST(p AS INT) > 1 THEN 'ambiguous' WHEN n THEN 'negative' WHEN p THEN 'positive' ELSE 'unknown' END AS status, CASE WHEN k = 1 THEN m END AS \"only\" FROM s")
 def image_status_all(spark, sf):
-    """image_status over the labels of all captures, three to an image; its SQL keeps 1 in 29."""
+    """Status by the labels of all captures, three to an image."""
     c = Tables(spark, sf)["fx_capture"]
     name = F.when(F.col("category") == "click", "empty").when(F.col("category") == "view", "unknown").otherwise(F.col("category"))
     image = F.floor(F.col("image_id") / 3).alias("image_id")
@@ -313,13 +285,6 @@ def equivalent_threshold(spark, sf):
     return evaluate.equivalent_threshold(d.filter("det_ord % 2 = 0"), d.filter("det_ord % 2 = 1").select((F.col("conf") * F.col("conf")).alias("conf")), 0.5)
 
 
-@query("multilabel_scores", fx("fx_capture") + ", t AS (SELECT DISTINCT location AS image_id, category AS label FROM fx_capture WHERE image_id % 17 = 0), p AS (SELECT DISTINCT location AS image_id, category AS label FROM fx_capture WHERE image_id % 13 = 0), b AS (SELECT coalesce(t.label, p.label) AS label, count(*) FILTER (WHERE t.label IS NOT NULL AND p.label IS NOT NULL) AS tp, count(*) FILTER (WHERE t.label IS NULL) AS fp, count(*) FILTER (WHERE p.label IS NULL) AS fn FROM t FULL JOIN p ON t.image_id = p.image_id AND t.label = p.label GROUP BY 1) SELECT label, tp, fp, fn, round(tp / nullif(CAST(tp + fp AS DOUBLE), 0), 9) AS precision, round(tp / nullif(CAST(tp + fn AS DOUBLE), 0), 9) AS recall, round(2.0 * tp / nullif(2.0 * tp + fp + fn, 0), 9) AS f1 FROM b")
-def multilabel_scores(spark, sf):
-    c = Tables(spark, sf)["fx_capture"].select(F.col("location").alias("image_id"), F.col("category").alias("label"), F.col("image_id").alias("i"))
-    s = evaluate.multilabel_scores(c.filter("i % 17 = 0"), c.filter("i % 13 = 0"))
-    return s.withColumns({m: F.round(m, 9) for m in ("precision", "recall", "f1")})
-
-
 def _two_label_sets(t: Tables) -> DataFrame:
     """image_id, truth, pred of all captures, three to an image; the third is predicted as the category after its own."""
     c = t["fx_capture"]
@@ -328,11 +293,16 @@ def _two_label_sets(t: Tables) -> DataFrame:
     return c.select(F.floor(F.col("image_id") / 3).alias("image_id"), F.col("category").alias("truth"), F.when(F.col("image_id") % 3 == 0, after[F.col("category")]).otherwise(F.col("category")).alias("pred"))
 
 
-@query("multilabel_scores_all")
+#: As _two_label_sets().
+TWO = fx("fx_capture") + ", n AS (SELECT category, coalesce(lead(category) OVER (ORDER BY category), first(category) OVER (ORDER BY category)) AS after FROM (SELECT DISTINCT category FROM fx_capture)), c AS (SELECT CAST(image_id // 3 AS BIGINT) AS image_id, f.category AS truth, CASE WHEN image_id % 3 = 0 THEN after ELSE f.category END AS pred FROM fx_capture f JOIN n ON f.category = n.category)"
+
+
+@query("multilabel_scores_all", TWO + ", t AS (SELECT DISTINCT image_id, truth AS label FROM c), p AS (SELECT DISTINCT image_id, pred AS label FROM c), b AS (SELECT coalesce(t.label, p.label) AS label, count(*) FILTER (WHERE t.label IS NOT NULL AND p.label IS NOT NULL) AS tp, count(*) FILTER (WHERE t.label IS NULL) AS fp, count(*) FILTER (WHERE p.label IS NULL) AS fn FROM t FULL JOIN p ON t.image_id = p.image_id AND t.label = p.label GROUP BY 1) SELECT label, tp, fp, fn, round(tp / nullif(CAST(tp + fp AS DOUBLE), 0), 9) AS precision, round(tp / nullif(CAST(tp + fn AS DOUBLE), 0), 9) AS recall, round(2.0 * tp / nullif(2.0 * tp + fp + fn, 0), 9) AS f1 FROM b")
 def multilabel_scores_all(spark, sf):
-    """multilabel_scores over all captures; its SQL keeps 1 in 17 and 1 in 13."""
+    """Scores by label over all captures."""
     c = _two_label_sets(Tables(spark, sf))
-    return evaluate.multilabel_scores(c.select("image_id", F.col("truth").alias("label")), c.select("image_id", F.col("pred").alias("label")))
+    s = evaluate.multilabel_scores(c.select("image_id", F.col("truth").alias("label")), c.select("image_id", F.col("pred").alias("label")))
+    return s.withColumns({m: F.round(m, 9) for m in ("precision", "recall", "f1")})
 
 
 @query("one_label", fx("fx_capture") + ", c AS (SELECT location AS image_id, category AS label, count(*) AS n, max(conf) AS conf FROM fx_capture GROUP BY ALL) SELECT image_id, label FROM c QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY n DESC, conf DESC, label) = 1")
@@ -396,11 +366,6 @@ def proportional_sample(spark, sf):
     return sampling.proportional(c, 100)
 
 
-@query("sample_per_category")
-def sample_per_category(spark, sf):
-    return sampling.per_group(Tables(spark, sf)["fx_detections"].select("image_id", "category").distinct(), ["category"], 25, seed=3)
-
-
 @query("validate_results", fx("fx_detections") + " SELECT 'unknown_category' AS rule, CAST(image_id AS VARCHAR) AS key FROM fx_detections WHERE category NOT IN (1, 2)")
 def validate_results(spark, sf):
     t = Tables(spark, sf)
@@ -439,27 +404,18 @@ def confidence_with_truth(spark, sf):
     return overlap.with_truth(d.select("image_id", "det_ord"), d, d, t["fx_truth"], 0.5)
 
 
-@query("largest_errors", fx("fx_detections") + " SELECT max(CASE WHEN image_id % 5 = 0 THEN CAST(0.001 AS DOUBLE) ELSE 0.0 END) AS conf_error, CAST(0 AS DOUBLE) AS coord_error FROM fx_detections WHERE image_id % 7 = 0")
-def largest_errors(spark, sf):
-    d = Tables(spark, sf)["fx_detections"].filter("image_id % 7 = 0").select("image_id", "det_ord", "category", "conf", "x", "y", "w", "h").dropDuplicates(["image_id", "category"])
-    shifted = d.withColumn("conf", F.when(F.col("image_id") % 5 == 0, F.col("conf") - 0.001).otherwise(F.col("conf")))
-    return compare.largest_errors(d, shifted).select(F.round("conf_error", 9).alias("conf_error"), "coord_error")
+def _errors(x: str, y: str) -> str:
+    return f"SELECT * FROM (SELECT a.conf AS ca, b.conf AS cb, {IOU} AS iou, greatest(abs(a.x - b.x), abs(a.y - b.y), abs(a.w - b.w), abs(a.h - b.h)) AS p, row_number() OVER (PARTITION BY a.image_id, a.det_ord ORDER BY {IOU} DESC, b.det_ord) AS k FROM {x} a LEFT JOIN {y} b ON a.image_id = b.image_id AND a.category = b.category) WHERE k = 1"
 
 
-@query("largest_errors_all")
+@query("largest_errors_all", fx("fx_detections") + f""", o AS (SELECT {D} FROM fx_detections), v AS (SELECT * REPLACE (CASE WHEN image_id % 5 = 0 THEN conf - CAST(0.001 AS DOUBLE) ELSE conf END AS conf, CASE WHEN image_id % 3 = 0 THEN x + CAST(0.004 AS DOUBLE) ELSE x END AS x) FROM o),
+ m AS ({_errors('o', 'v')} UNION ALL {_errors('v', 'o')}) SELECT round(max(CASE WHEN iou >= 0.85 THEN abs(ca - cb) ELSE ca END), 9) AS conf_error, round(max(CASE WHEN iou >= 0.85 THEN p ELSE 0.0 END), 9) AS coord_error FROM m""")
 def largest_errors_all(spark, sf):
-    """largest_errors over all boxes, several of one category in an image too; its SQL keeps one of each category in 1 image in 7."""
+    """Over all boxes, several of one category in an image too."""
     d = Tables(spark, sf)["fx_detections"].select("image_id", "det_ord", "category", "conf", "x", "y", "w", "h")
     k = F.col("image_id")
     shifted = d.withColumn("conf", F.when(k % 5 == 0, F.col("conf") - 0.001).otherwise(F.col("conf"))).withColumn("x", F.when(k % 3 == 0, F.col("x") + 0.004).otherwise(F.col("x")))
-    return compare.largest_errors(d, shifted)
-
-
-@query("n_way_comparison")
-def n_way_comparison(spark, sf):
-    t = Tables(spark, sf)
-    d = t["fx_detections"]
-    return compare.n_way([d.filter(F.col("det_ord") % 3 == k) for k in range(3)], t["fx_images"])
+    return compare.largest_errors(d, shifted).select(*[F.round(c, 9).alias(c) for c in ("conf_error", "coord_error")])
 
 
 @query("review_order")
@@ -470,16 +426,9 @@ def review_order(spark, sf):
     return overlap.by_place(c)
 
 
-@query("cell_confusion", fx("fx_capture") + ", s AS (SELECT location AS i, list(DISTINCT category) FILTER (WHERE image_id % 17 = 0) AS t, list(DISTINCT category) FILTER (WHERE image_id % 13 = 0) AS p FROM fx_capture GROUP BY 1), e AS (SELECT t AS ts, p AS ps, unnest(t) AS a FROM s), f AS (SELECT ts, ps, a, unnest(ps) AS b FROM e) SELECT a AS truth, b AS pred, count(*) AS n FROM f WHERE NOT (list_contains(ts, b) AND list_contains(ps, a) AND a <> b) GROUP BY ALL")
-def cell_confusion(spark, sf):
-    c = Tables(spark, sf)["fx_capture"]
-    s = c.groupBy("location").agg(F.collect_set(F.when(F.col("image_id") % 17 == 0, F.col("category"))).alias("truth"), F.collect_set(F.when(F.col("image_id") % 13 == 0, F.col("category"))).alias("pred"))
-    return evaluate.multilabel_confusion(s)
-
-
-@query("cell_confusion_all")
+@query("cell_confusion_all", TWO + ", s AS (SELECT image_id, list(DISTINCT truth) AS t, list(DISTINCT pred) AS p FROM c GROUP BY 1), e AS (SELECT t AS ts, p AS ps, unnest(t) AS a FROM s), f AS (SELECT ts, ps, a, unnest(ps) AS b FROM e) SELECT a AS truth, b AS pred, count(*) AS n FROM f WHERE NOT (list_contains(ts, b) AND list_contains(ps, a) AND a <> b) GROUP BY ALL")
 def cell_confusion_all(spark, sf):
-    """cell_confusion over all captures; its SQL keeps 1 in 17 and 1 in 13."""
+    """Confusion of all captures' label sets, three captures to an image."""
     s = _two_label_sets(Tables(spark, sf)).groupBy("image_id").agg(F.collect_set("truth").alias("truth"), F.collect_set("pred").alias("pred"))
     return evaluate.multilabel_confusion(s)
 

@@ -44,14 +44,9 @@ def path_rewrites(spark, sf):
     return _paths(spark, sf).select("image_id", paths.camera_folder(p).alias("camera"), paths.wsl_to_windows(p).alias("windows"), paths.windows_to_wsl(p).alias("wsl"), paths.frame_number(p).alias("frame"), F.get(F.split(paths.dirname(p), "/"), F.lit(0)).alias("first_folder"))
 
 
-@query("crop_names", PATHS + r""" SELECT image_id, regexp_replace(p, '(\.[^.]*)$', '.crop_' || lpad(CAST(image_id % 12 AS VARCHAR), 3, '0') || '\1') AS crop FROM p WHERE image_id % 6 IN (0, 4)""")
-def crop_names(spark, sf):
-    return _paths(spark, sf).filter("image_id % 6 in (0, 4)").select("image_id", paths.crop_name(F.col("p"), F.col("image_id") % 12).alias("crop"))
-
-
-@query("crop_names_all")
+@query("crop_names_all", PATHS + r""" SELECT image_id, p, regexp_replace(p, '(\.[^./\\]*)?$', '.crop_' || lpad(CAST(image_id % 12 AS VARCHAR), 3, '0') || '\1') AS crop FROM p""")
 def crop_names_all(spark, sf):
-    """crop_names over all forms of paths; its SQL keeps two of six."""
+    """Over all forms of paths."""
     return _paths(spark, sf).select("image_id", "p", paths.crop_name(F.col("p"), F.col("image_id") % 12).alias("crop"))
 
 
@@ -109,17 +104,9 @@ def taxonomy_labels(spark, sf):
     return taxonomy.descendant_labels(t["fx_taxonomy"], labels).select("node_id", F.array_join("labels", ",").alias("labels"))
 
 
-@query("taxonomy_common_ancestor", "SELECT c_mktsegment AS \"group\", CASE WHEN count(DISTINCT n_nationkey) = 1 THEN CAST(min(n_nationkey) AS BIGINT) ELSE CAST(1000 + min(n_regionkey) AS BIGINT) END AS node_id FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 2 AND c_custkey % 2 = 0 GROUP BY 1")
-def taxonomy_common_ancestor(spark, sf):
-    t = Tables(spark, sf)
-    n = t["nation"].filter("n_regionkey = 2")
-    groups = t["customer"].filter("c_custkey % 2 = 0").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_mktsegment").alias("group"), F.col("c_nationkey").cast("long").alias("node_id"))
-    return taxonomy.lowest_common(taxonomy.ancestors(t["fx_taxonomy"]), groups)
-
-
-@query("taxonomy_common_ancestor_all")
+@query("taxonomy_common_ancestor_all", "SELECT c_mktsegment || '/' || n_regionkey AS \"group\", CASE WHEN count(DISTINCT n_nationkey) = 1 THEN CAST(min(n_nationkey) AS BIGINT) ELSE CAST(1000 + min(n_regionkey) AS BIGINT) END AS node_id FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
 def taxonomy_common_ancestor_all(spark, sf):
-    """Lowest common nodes of all customers' nations, by segment and region; the SQL above keeps half of one region."""
+    """Lowest common nodes of all customers' nations, by segment and region."""
     t = Tables(spark, sf)
     named = t["customer"].join(t["nation"], F.col("c_nationkey") == F.col("n_nationkey"))
     groups = named.select(F.concat_ws("/", "c_mktsegment", "n_regionkey").alias("group"), F.col("c_nationkey").cast("long").alias("node_id"))
@@ -152,19 +139,11 @@ def restrict_taxa(spark, sf):
     return taxonomy.restricted(rows, allowed)
 
 
-@query("tile_grid", """WITH i AS (SELECT o_orderkey AS image_id, 600 + o_orderkey % 900 AS w, 400 + o_orderkey % 700 AS h FROM orders WHERE o_orderkey % 11 = 0),
- x AS (SELECT DISTINCT image_id, w, unnest(CASE WHEN w <= 640 THEN [0] ELSE list_concat(range(0, w - 640 + 1, 320), [w - 640]) END) AS tile_x FROM i), y AS (SELECT DISTINCT image_id, unnest(CASE WHEN h <= 640 THEN [0] ELSE list_concat(range(0, h - 640 + 1, 320), [h - 640]) END) AS tile_y FROM i)
+@query("tile_grid_all", """WITH i AS (SELECT o_orderkey AS image_id, 600 + o_orderkey % 900 AS w, 400 + o_orderkey % 700 AS h FROM orders),
+ x AS (SELECT DISTINCT image_id, unnest(CASE WHEN w <= 640 THEN [0] ELSE list_concat(range(0, w - 640 + 1, 320), [w - 640]) END) AS tile_x FROM i), y AS (SELECT DISTINCT image_id, unnest(CASE WHEN h <= 640 THEN [0] ELSE list_concat(range(0, h - 640 + 1, 320), [h - 640]) END) AS tile_y FROM i)
  SELECT x.image_id, tile_x, tile_y FROM x JOIN y ON x.image_id = y.image_id""")
-def tile_grid(spark, sf):
-    i = Tables(spark, sf)["fx_images"].filter("image_id % 11 = 0")
-    k = F.col("image_id")
-    t = crops.tile_table(i.select("image_id", (600 + k % 900).cast("int").alias("width"), (400 + k % 700).cast("int").alias("height")), 640)
-    return t.select("image_id", F.col("tile_x").cast("long").alias("tile_x"), F.col("tile_y").cast("long").alias("tile_y"))
-
-
-@query("tile_grid_all")
 def tile_grid_all(spark, sf):
-    """tile_grid over all images; its SQL keeps 1 in 11."""
+    """Over all images."""
     k = F.col("image_id")
     t = crops.tile_table(Tables(spark, sf)["fx_images"].select("image_id", (600 + k % 900).cast("int").alias("width"), (400 + k % 700).cast("int").alias("height")), 640)
     return t.select("image_id", F.col("tile_x").cast("long").alias("tile_x"), F.col("tile_y").cast("long").alias("tile_y"))

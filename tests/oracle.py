@@ -3,6 +3,7 @@
 import math
 
 import duckdb
+import pyarrow as pa
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -10,13 +11,19 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 def plain(v):
     if v is None or (isinstance(v, float) and math.isnan(v)):
         return None
-    if isinstance(v, bool):
+    if isinstance(v, (bool, int, float)):
         return v
-    if isinstance(v, (int, float)):
-        return float(v)
     return str(v)
 
 
+def kind(t):
+    """What kind of values a column has: schemas have to agree in it."""
+    for name in ("integer", "floating", "boolean", "decimal", "temporal", "nested"):
+        if getattr(pa.types, f"is_{name}")(t):
+            return name
+    return "text"
+
+
 def rows(table):
     cols = sorted(table.column_names)
     data = [table.column(c).to_pylist() for c in cols]
@@ -29,4 +36,5 @@ def compare(spark, name, query, sql, sf_dir):
         con.sql(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
     expected = con.sql(sql).to_arrow_table()
     got = query(spark, sf_dir).toArrow()
+    assert {f.name: kind(f.type) for f in got.schema} == {f.name: kind(f.type) for f in expected.schema}, name
     assert rows(got) == rows(expected), name
