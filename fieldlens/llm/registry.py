@@ -17,6 +17,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 _SHIPPED: set[str] = set()
+PARALLEL = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -32,6 +33,9 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(root.parent))
     sc.addPyFile(path)
     _SHIPPED.add(sc.applicationId)
+    # small results in few partitions: as many small files and tasks as cores cost more than they save
+    if spark.conf.get(PARALLEL) == "true":
+        spark.conf.set(PARALLEL, "false")
     # rows of text are long: smaller batches than the default keep workers small
     if spark.conf.get(BATCH) == "10000":
         spark.conf.set(BATCH, "2000")
