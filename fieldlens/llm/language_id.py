@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldlens.llm.registry import query, table
-from fieldlens.llm.support import buffers, chunks, task_of, text_column
+from fieldlens.llm.support import buffers, chunks, release, task_of, text_column
 
 #: The bound on the labelled rows that are fitted, the embeddings' size and the passes.
 TRAIN_ROWS, DIM, EPOCHS, MOST_ERROR = 4000, 12, 6, 0.01
@@ -128,7 +128,10 @@ def fit_on(labelled: DataFrame, most_rows: int = TRAIN_ROWS) -> LanguageModel |
     got = near.orderBy("k", "id").limit(most_rows).select("text", "lang").toArrow()
     if not got.num_rows:
         return None
-    return fit(got.column("text").to_pylist(), got.column("lang").to_pylist())
+    model = fit(got.column("text").to_pylist(), got.column("lang").to_pylist())
+    del got
+    release()
+    return model
 
 
 def judge(model: LanguageModel | None, col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -38,7 +38,7 @@ from fieldlens.llm import kernels
 from fieldlens.llm.registry import query, table
 from fieldlens.llm.support import buffers, chunks, components, groups, materialize, mix64, small, task_of, text_column
 
-SHINGLE, LIMIT, TREES, DEPTH, RECALL = 5, 0.8, 16, 6, 0.999
+SHINGLE, LIMIT, TREES, DEPTH, RECALL = 5, 0.8, 16, 5, 0.999
 #: Members, and words of these, of a block of the classes below a node.
 BLOCK, BLOCK_WORDS = 1024, 1_500_000
 

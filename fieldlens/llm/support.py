@@ -38,7 +38,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again, which cuts its lineage there."""
     spark = df.sparkSession
     path = work_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -56,6 +56,11 @@ def task_of(owner: str) -> None:
     for name, clear in _KEPT.items():
         if name != owner:
             clear()
+    release()
+
+
+def release() -> None:
+    """Give free memory of this process back to the system."""
     pa.default_memory_pool().release_unused()
     if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
         trim(0)

@@ -377,7 +377,7 @@ def test_prefix_is_shortened_to_recall():
     assert 1 - (1 - 0.8**d) ** 16 >= 0.999 > 1 - (1 - 0.8 ** (d + 1)) ** 16
 
 
-@pytest.mark.parametrize("low, levels", [(0.97, 1), (0.81, 3)])
+@pytest.mark.parametrize("low, levels", [(0.97, 1), (0.81, ngram_join.DEPTH - 3)])
 def test_prefixes_are_shortened_only_as_far_as_needed(spark, low, levels, monkeypatch):
     """Very alike pairs are found by whole labels; one pair near the limit makes the search go up to the least depth."""
     ship(spark)
