@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from fieldlens.llm import kernels
 from fieldlens.llm.registry import query, table
-from fieldlens.llm.support import buffers, chunks, components, groups, materialize, mix64, small, task_of, text_column
+from fieldlens.llm.support import buffers, chunks, components, groups, materialize, mix64, small, task_of, temporary, text_column
 
 SHINGLE, LIMIT, TREES, DEPTH, RECALL = 5, 0.8, 16, 5, 0.999
 #: Members, and words of these, of a block of the classes below a node.
@@ -222,6 +222,21 @@ def linked_at(near: DataFrame, sets: DataFrame, depth: int, trees: int, limit: f
 
 def ngram_join(docs: DataFrame, limit: float = LIMIT, recall: float = RECALL, trees: int = TREES, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
     """One row per document: doc_id, class_id (least doc_id of its near-duplicate group), text_class (of its words), n_links (other text classes that are linked to it)."""
+    kept: list[DataFrame] = []
+    with temporary(docs.sparkSession, kept):
+        rows, by_class = _classes(docs, limit, recall, trees, id_col, text_col, depth, kept)
+    out = rows.join(by_class, ["k1", "k2"], "left")
+    alone = (F.col("n_words") == 0) | F.col("rep").isNull()
+    return out.select(
+        "doc_id",
+        F.when(alone, F.col("doc_id")).otherwise(F.coalesce("root", "rep")).alias("class_id"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("rep")).alias("text_class"),
+        F.when(alone, F.lit(0)).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"),
+    )
+
+
+def _classes(docs: DataFrame, limit: float, recall: float, trees: int, id_col: str, text_col: str, depth: int, kept: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, k1, k2, n_words of all documents; k1, k2, rep, n_links, root of all classes); kept gets the tables that these read."""
     floor = prefix_depth(limit, trees, depth, recall)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = materialize(labels(docs, floor, depth, trees), "labels")
@@ -245,16 +260,9 @@ def ngram_join(docs: DataFrame, limit: float = LIMIT, recall: float = RECALL, tr
             break
     links = found.groupBy("rep").agg(F.sum("links").alias("n_links"))
     groups_of = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    marks = small(materialize(links.join(groups_of, F.col("rep") == F.col("node"), "left").select("rep", "n_links", F.coalesce("root", "rep").alias("root")), "marks"))
-    by_class = classes.join(marks, "rep", "left").select("k1", "k2", "rep", "n_links", "root")
-    out = rows.join(by_class, ["k1", "k2"], "left")
-    alone = (F.col("n_words") == 0) | F.col("rep").isNull()
-    return out.select(
-        "doc_id",
-        F.when(alone, F.col("doc_id")).otherwise(F.coalesce("root", "rep")).alias("class_id"),
-        F.when(alone, F.col("doc_id")).otherwise(F.col("rep")).alias("text_class"),
-        F.when(alone, F.lit(0)).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"),
-    )
+    marks = materialize(links.join(groups_of, F.col("rep") == F.col("node"), "left").select("rep", "n_links", F.coalesce("root", "rep").alias("root")), "marks")
+    kept += [rows, classes, marks]
+    return rows.select("doc_id", "k1", "k2", "n_words"), classes.join(small(marks), "rep", "left").select("k1", "k2", "rep", "n_links", "root")
 
 
 @query("op8_ngram_join")

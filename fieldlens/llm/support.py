@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import tempfile
 import uuid
@@ -34,10 +35,30 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{work_root(spark)}/fieldlens/{name}-{uuid.uuid4().hex}"
 
 
+#: Tables that the operators under way have written, for each of them.
+_TABLES: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def temporary(spark: SparkSession, kept: list[DataFrame]) -> Iterator[None]:
+    """Deletes the tables that were written in this block, but for those that DataFrames in kept read. None of the others may be read later."""
+    _TABLES.append([])
+    try:
+        yield
+    finally:
+        needed = {f.rsplit("/", 1)[0] for df in kept for f in df.inputFiles()}
+        for path in _TABLES.pop():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            if where.toUri().getPath() not in {spark._jvm.org.apache.hadoop.fs.Path(n).toUri().getPath() for n in needed}:
+                where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again, which cuts its lineage there."""
     spark = df.sparkSession
     path = work_path(spark, name)
+    if _TABLES:
+        _TABLES[-1].append(path)
     df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

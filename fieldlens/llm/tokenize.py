@@ -37,8 +37,8 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Characters whose class, case and normal form are the same in every Unicode version; on these, the patterns with their letters spelled out say the same.
 PLAIN = re.compile(r"[ \n!-~À-ÖØ-Ýß-öø-ÿ]*")
 LETTERS = "A-Za-zÀ-ÖØ-Ýß-öø-ÿ"
-#: Entries of the memos of parts (for the byte-level and the word vocabulary) and of pre-tokens; a full memo is emptied.
-BYTE_MEMO, WORD_MEMO, TOKEN_MEMO = 300_000, 650_000, 100_000
+#: Entries of the memos of parts (for the byte-level and the word vocabulary) and of pre-tokens. A full memo of parts becomes the old one, from which parts that are met again come back.
+BYTE_MEMO, WORD_MEMO, TOKEN_MEMO = 250_000, 325_000, 100_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -62,6 +62,7 @@ class Pieces(dict):
         self.ascii = {b: self.letters[b] for b in range(128)}
         self.lead = lead
         self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     @staticmethod
     def pack(ids: list[int]) -> bytes:
@@ -92,7 +93,11 @@ class Pieces(dict):
         if not self.words and (not piece or edge(piece[0]) or edge(piece[-1])):
             raise KeyError(piece)
         if len(self) >= (WORD_MEMO if self.words else BYTE_MEMO):
+            self.old = dict(self)
             self.clear()
+        if (out := self.old.pop(piece, None)) is not None:
+            self[piece] = out
+            return out
         if piece.isalpha() and (piece.isascii() or PLAIN.fullmatch(piece)):  # one pre-token
             out = self.bpe(piece.lower() if self.words else self.lead + piece)
         else:
