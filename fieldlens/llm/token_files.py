@@ -198,8 +198,8 @@ def read_file(path: str) -> Iterator[tuple[int | None, np.ndarray]]:
             held = held[count:]
 
 
-#: Bytes of text in a file at most, about.
-FILE_BYTES = 1 << 28
+#: Documents in a file at most, about.
+FILE_DOCS = 100_000
 
 
 def write_token_files(docs: DataFrame, vocabulary: str, folder: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -222,8 +222,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, folder: str, end_id: int
         yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([path]), pa.array([n_docs], pa.int64()), pa.array([n_ids], pa.int64())], names=["shard", "path", "documents", "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    files = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
+    files = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // FILE_DOCS))
     return materialize(rows.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id").mapInArrow(run, "shard long, path string, documents long, ids long"), "manifest")
 
 
