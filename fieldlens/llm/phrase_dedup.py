@@ -34,7 +34,7 @@ from fieldlens.llm import kernels
 from fieldlens.llm.registry import query, table
 from fieldlens.llm.repeats import KIND, LEFT, MARKS, RIGHT, Windows, by_document, covered, longs, range_hashes, recurring, unlike
 from fieldlens.llm.suffix_dedup import marked_runs
-from fieldlens.llm.support import groups, text_column
+from fieldlens.llm.support import groups, task_of, text_column
 
 WORDS = 20
 WHITE = b" \t\n\x0b\x0c\r"
@@ -120,6 +120,7 @@ def shard_marks(shards: DataFrame, how: Windows) -> DataFrame:
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task_of("kernels")
         for t in groups(batches):
             t = unlike(t)
             out = kinds(t) if t.column("role")[0].as_py() == KIND else spans(t)
@@ -138,6 +139,7 @@ def phrase_dedup(docs: DataFrame, how: Windows | None = None, id_col: str = "doc
     words = how.window
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task_of("phrase_dedup")
         for batch in batches:
             rows = []
             for doc_id, text, found in zip(batch.column(0).to_pylist(), text_column(batch, "text"), batch.column(2).to_pylist(), strict=True):

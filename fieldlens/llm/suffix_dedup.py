@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from fieldlens.llm.registry import query, table
 from fieldlens.llm.repeats import KIND, LEFT, MARKS, Windows, by_document, covered, longs, recurring, unlike
-from fieldlens.llm.support import groups, text_column
+from fieldlens.llm.support import groups, task_of, text_column
 
 LENGTH = 400
 
@@ -146,6 +146,7 @@ def shard_marks(shards: DataFrame, how: Windows) -> DataFrame:
     length = how.window
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task_of("suffix_dedup")
         for t in groups(batches):
             t = unlike(t)
             role, mark, doc, first, n, d1, shift, island = longs(t, "role", "mark", "doc_id", "first", "n", "d1", "shift", "island")
@@ -171,6 +172,7 @@ def suffix_dedup(docs: DataFrame, how: Windows | None = None, id_col: str = "doc
     length = how.window
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task_of("suffix_dedup")
         for batch in batches:
             rows = []
             for doc_id, text, found in zip(batch.column(0).to_pylist(), text_column(batch, "text"), batch.column(2).to_pylist(), strict=True):
