@@ -25,7 +25,7 @@ keeps("kernels", _powers.cache_clear)
 
 def powers(base: int, n: int) -> np.ndarray:
     """base ** 0 .. base ** (n - 1) modulo 2 ** 64."""
-    return _powers(base, max(1 << 21, 1 << max(0, n - 1).bit_length()))[:n]
+    return _powers(base, max(1 << 20, 1 << max(0, n - 1).bit_length()))[:n]
 
 
 def sums(values: np.ndarray) -> np.ndarray:

@@ -142,7 +142,7 @@ def judge(model: LanguageModel | None, col: pa.Array) -> tuple[np.ndarray, np.nd
     names, scores, limit = np.full(n, UND, dtype=object), np.zeros(n), 1.0
     if model is not None:
         limit = model.limit
-        for i, j in chunks(offsets, 1 << 20):
+        for i, j in chunks(offsets, 1 << 18):
             at = offsets[i : j + 1] - offsets[i]
             lengths = np.diff(at)
             full = np.flatnonzero(lengths)
