@@ -41,7 +41,7 @@ def write_lines(images: DataFrame, path: str) -> None:
 
 
 def document_lines(images: DataFrame, key: str, info: dict[str, str], categories: dict[str, str]) -> DataFrame:
-    """value: a results document for each value of key (a folder, a camera), as one line; a set of any size goes out in parallel."""
+    """key, value: a results document for each value of key (a folder, a camera, a batch of images), as one line. A set of any size goes out in parallel, but a task holds a document whole."""
     def texts(given: dict[str, str]) -> Column:
         return F.create_map(*[F.lit(x) for kv in given.items() for x in kv])
 
@@ -49,7 +49,7 @@ def document_lines(images: DataFrame, key: str, info: dict[str, str], categories
     # sorted by name; names are distinct
     by_name = body.groupBy(key).agg(F.array_agg(F.struct(F.col("i.file").alias("k"), "i")).alias("l"))
     ordered = F.transform(F.array_sort("l", lambda a, b: F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0)), lambda x: x["i"])
-    return by_name.select(F.to_json(F.struct(texts(info).alias("info"), texts(categories).alias("detection_categories"), ordered.alias("images"))).alias("value"))
+    return by_name.select(key, F.to_json(F.struct(texts(info).alias("info"), texts(categories).alias("detection_categories"), ordered.alias("images"))).alias("value"))
 
 
 def write_document(images: DataFrame, path: str, info: dict[str, str], categories: dict[str, str], classes: dict[str, str] | None = None) -> None:

@@ -9,6 +9,7 @@ from fieldlens import model
 from fieldlens.functions import geometry, numbers, paths, strings, taxa, times
 from fieldlens.operators import categories, combine, crops, evaluate, filters, overlap, sampling, smoothing, taxonomy, validate
 from fieldlens.operators import sequences as seqs
+from fieldlens.plans import format_queries
 from fieldlens.sources import documents, formats, sinks
 from fieldlens.streaming import sequences as streams
 
@@ -132,6 +133,26 @@ def test_predictions(spark, tmp_path):
     assert r["a.jpg"]["detections"][0]["bbox"] == [0, 0, 1, 1] and r["a.jpg"]["detections"][0]["classifications"][0]["id"] == "0"
 
 
+def test_merged_caches_of_many_documents(spark, tmp_path, monkeypatch):
+    def doc(*files, names=DOC["detection_categories"]):
+        return json.dumps({"info": DOC["info"], "detection_categories": names, "images": [{"file": f, "detections": []} for f in files]}) + "\n"
+
+    for name, text in (("a", doc("1.jpg", "2.jpg") + doc("3.jpg")), ("b", doc("4.jpg"))):
+        (tmp_path / name).write_text(text)
+    both = [str(tmp_path / n) for n in "ab"]
+    assert sorted(r["file"] for r in documents.merge_caches(spark, both, per_line=True).collect()) == ["1.jpg", "2.jpg", "3.jpg", "4.jpg"]
+    (tmp_path / "b").write_text(doc("4.jpg") + doc("5.jpg", names={"1": "other"}))
+    with pytest.raises(ValueError, match="categories"):
+        documents.merge_caches(spark, both, per_line=True)
+
+    # the documents of the query have a bounded size, however large its tables are
+    merge, seen = documents.merge_caches, []
+    monkeypatch.setattr(documents, "merge_caches", lambda s, path, **how: seen.append(path) or merge(s, path, **how))
+    format_queries.merged_documents(spark, "/root/testdata/sf0.01")
+    sizes = [len(json.loads(r["value"])["images"]) for r in spark.read.text(seen[0]).collect()]
+    assert sum(sizes) == 15000 and max(sizes) <= format_queries.BATCH
+
+
 def test_annotation_db(spark, tmp_path):
     db = {"images": [{"id": "1", "file_name": "x/A.jpg", "width": 10, "height": 20, "location": "l"}, {"id": "2", "file_name": "y.jpg", "width": 10, "height": 20, "location": "m"}], "annotations": [{"id": "a", "image_id": "1", "category_id": 2, "bbox": [1, 2, 5, 10]}, {"id": "b", "image_id": "1", "category_id": 1}], "categories": [{"id": 1, "name": "Deer"}, {"id": 2, "name": "Fox"}]}
     (tmp_path / "db.json").write_text(json.dumps(db))
