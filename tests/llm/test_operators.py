@@ -307,6 +307,20 @@ def test_suffix_dedup(spark, docs, limits):
     assert got == want
 
 
+def test_suffix_dedup_of_planted_passages(spark):
+    """Passages of over 50 words in several documents go whole from 400 bytes on; shorter ones stay, as no 400-byte string recurs."""
+    rows, want = [], {}
+    for k, n in enumerate((330, 399, 400, 401, 900)):
+        p = prose(900 + k, 400)[:n]
+        assert len(p.split()) > 50
+        for j in range(3):
+            i = 3 * k + j
+            rows.append((i, f"{prose(1000 + i, 80)} {j}{p}{j} {prose(1100 + i, 80)}"))
+            want[i] = (len(rows[-1][1]), n if n >= 400 else 0, int(n >= 400))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in suffix_dedup.suffix_dedup(docs).collect()} == want
+
+
 def test_run_length_index():
     rnd = random.Random(8)
     for _ in range(30):
